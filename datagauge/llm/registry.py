@@ -30,6 +30,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer(spark, "byte_bpe_multi_50k.tiktoken"), PATTERN, output=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, by 2-word shingles and a similarity of 0.8."""
+    from datagauge.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    from datagauge.llm.toxicity import classify
+
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.5, ["doc_id"])
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     from datagauge.llm.token_counts import count_tokens
@@ -37,9 +52,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer(spark, "piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    from datagauge.llm.quality import classify
+
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3, ["doc_id"])
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op5_toxicity": op5_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
