@@ -60,12 +60,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, with strings of 200 bytes."""
+    from datagauge.llm.repeats import repeated_spans, without_spans
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_spans(repeated_spans(docs, 200), ("n_bytes", "n_removed", "n_spans", "kept_sha256"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_toxicity": op5_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}
