@@ -30,6 +30,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer(spark, "byte_bpe_multi_50k.tiktoken"), PATTERN, output=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector, by a cosine of 0.95."""
+    from datagauge.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, by 2-word shingles and a similarity of 0.8."""
     from datagauge.llm.minhash import near_duplicates
@@ -70,6 +77,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_toxicity": op5_toxicity,
     "op8_token_counts": op8_token_counts,
