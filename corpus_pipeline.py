@@ -1,15 +1,68 @@
-"""A corpus pipeline of five stages, each calling an operator of datagauge.llm."""
+"""A corpus pipeline: STAGES take (spark, docs, sf_dir) and return a DataFrame, the next one's docs.
+
+quality drops documents that the classifier rejects; near_duplicates keeps one document (the smallest id) of each
+group; repeats cuts out strings of 200 bytes that occur more than once, wherever they stand (whole
+characters only, so a document can come out empty but stays); decontamination drops documents that hold
+a benchmark item; tokens encodes what is left and decodes it again. All but the last return
+the columns of documents, with n_chars of the text as it then is. SQL can't express the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from datagauge.llm.byte_bpe import encode
+from datagauge.llm.decontamination import contaminated
+from datagauge.llm.frames import table
+from datagauge.llm.minhash import near_duplicates
+from datagauge.llm.quality import classify
+from datagauge.llm.registry import tokenizer
+from datagauge.llm.repeats import repeated_spans, without_spans
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (a score of 0.3 or more)."""
+    scored = classify(docs, table(spark, sf_dir, "labels"), 0.3)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words, a similarity of 0.8."""
+    return near_duplicates(docs, words=5).where("kept").select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated strings of 200 bytes."""
+    cut = without_spans(repeated_spans(docs, 200), ("kept",))
+    out = cut.withColumn("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"), 0.8).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, and digests of the ids and of the bytes they decode to."""
+    from public_tokenizers import PATTERN
+
+    keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return encode(docs, tokenizer(spark, "byte_bpe_multi_50k.tiktoken"), PATTERN, output=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep=keep)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicate), ("repeats", repeats), ("decontamination", decontamination), ("tokens", tokens)]
 
-STAGES: list = []
+#: The first stage is a fitted model, which SQL can't express; stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
