@@ -65,3 +65,11 @@ def map_text(df: DataFrame, column: str, fields: list[tuple[str, str]], make, ke
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
 
     return source.mapInArrow(run, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no live DataFrame reads."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -66,6 +66,20 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
 
 
+def op7_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slot, shard, doc_id, seq_no, n_tokens, sha256 of every sequence; the digest is of the row as read back from its shard."""
+    import uuid
+
+    from public_tokenizers import PATTERN
+
+    from datagauge.llm.frames import shared_dir
+    from datagauge.llm.shards import digests, materialise
+
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    manifest = materialise(table(spark, sf_dir, "documents"), path, tokenizer(spark, "byte_bpe_multi_50k.tiktoken"), PATTERN, 512, rows=8192)
+    return manifest.join(digests(manifest, path, 512, 8192), "slot")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     from datagauge.llm.token_counts import count_tokens
@@ -96,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_training_shards": op7_training_shards,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
