@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from datagauge.plans import evaluation, ranking
+
+FLAGSHIP = "frequency_baseline"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = evaluation.QUERIES | ranking.QUERIES
+ORACLES: dict[str, str] = evaluation.ORACLES | ranking.ORACLES
