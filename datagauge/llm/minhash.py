@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.llm.components import components
-from datagauge.llm.frames import map_text, stored
+from datagauge.llm.embeddings import connect
+from datagauge.llm.frames import discard, map_text, release, stored
 from datagauge.llm.kernels import buffers, mix, shingle_hashes
 
 ROWS, BANDS = 6, 48
 SIZE = ROWS * BANDS
+#: Cells are cut into blocks of about so many sets, whose products are made so many shingles at a time.
+BLOCK, COLUMNS = 256, 8192
 SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 BAND_SALTS = mix(np.arange(1, SIZE + 1, dtype=np.uint64) + np.uint64(77)).reshape(BANDS, ROWS) | np.uint64(1)
 
@@ -94,37 +97,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     values, and an id with several texts links through any of them. A null doc_id is linked
     with nothing, component_id null and kept true. Columns named like the new ones are replaced.
 
-    Equal sets are one class, whatever their number. Candidates of different classes are a star to the
-    least class of each band; what a band holds of several components after that is
-    compared too, so no pair that shares a band is left out unless a path joins it already.
+    Equal sets are one class, whatever their number. Classes that share a band are in the cell of the least class of that
+    band, so any two that share one meet in a cell; within a cell, in pairs of blocks of bounded size, all
+    intersections are counted on whole sets.
     """
     named = docs.where(F.col("doc_id").isNotNull())
     rows = stored(signatures(named, words, text), "sets")
     some = rows.where("n_shingles > 0")
-    classes = stored(some.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class")), "classes")
-    lead = classes.select(F.col("class").alias("doc_id"), "n_shingles", "s1", "s2")
-    # an id leads several classes if it has several texts
-    keyed = some.join(lead, ["doc_id", "n_shingles", "s1", "s2"], "left_semi").select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    least = keyed.groupBy("band").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    crowded = stored(keyed.join(least.select("band", "least"), "band"), "crowded")
-    fits = F.expr(f"100 * least(n, least.n) >= {percent} * greatest(n, least.n)")
-    pairs = crowded.where("id <> least.id").where(fits).select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(pairs, named, words, percent, text), "verified")
+    least = some.groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "bands")).alias("one"))
+    classes = stored(least.select("n_shingles", "s1", "s2", F.col("one.doc_id").alias("class"), "one.bands"), "classes")
+    rows, classes_only = rows.drop("bands"), classes.drop("bands")
+    keyed = classes.select(F.explode("bands").alias("band"), F.col("class").alias("id")).repartition("band")
+    leads = keyed.groupBy("band").agg(F.min("id").alias("cell"), F.count("*").alias("members")).where("members > 1")
+    cells = stored(keyed.join(leads.hint("merge"), "band").select("cell", "id").distinct(), "cells")
+    links = verified(cells, named, words, percent, text)
     found = components(links)
-    # bands that still hold members of several components
-    label = crowded.select("band", "id", "n", F.col("least.id").alias("tested")).join(found.select("id", F.col("component_id").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    label = stored(label, "labels")
-    mixed = label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    open_ = label.join(mixed, "band")
-    left, right = (open_.select("band", *(F.col(c).alias(f"{c}{i}") for c in ("id", "n", "c", "tested"))) for i in (1, 2))
-    rest = (
-        left.join(right, "band").where(f"id1 < id2 and c1 <> c2 and id1 <> tested1 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-        .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    )
-    more = stored(verified(rest, named, words, percent, text), "verified")
-    found = components(links.unionByName(more)) if more.limit(1).count() else found
     # components of classes by the leader's id; one id may lead several classes, which then are one document
-    member = some.join(classes, ["n_shingles", "s1", "s2"]).select("doc_id", F.col("class").alias("id")).join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    member = rows.join(classes_only, ["n_shingles", "s1", "s2"]).select("doc_id", F.col("class").alias("id")).join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     per_id = member.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("hi"))
     per_id = stored(per_id, "members")
     if per_id.where("component_id <> hi").limit(1).count():  # ids with several texts join their components
@@ -138,13 +127,81 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = docs.select("doc_id", F.col(text).alias("text")).join(wanted, "doc_id")
-    found = stored(shingle_sets(own, words, "text", ["doc_id"]), "shingles")
-    left, right = (found.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    held = pairs.join(left, "a").join(right, "b").withColumn("both", both)
-    return held.where(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select("a", "b")
+def verified(cells: DataFrame, docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
+    """(a, b): links that join all whose whole sets are similar enough, within each cell (cell, id)."""
+    kind = cells.schema["id"].dataType.simpleString()
+    wanted = cells.select(F.col("id").alias("doc_id")).distinct()
+    own = docs.select("doc_id", F.col(text).alias("text")).join(wanted.hint("merge"), "doc_id")
+    held = stored(shingle_sets(own, words, "text", ["doc_id"]), "shingles")
+    release(docs.sparkSession)
+    blocks = cells.groupBy("cell").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+    placed = cells.join(blocks.hint("merge"), "cell").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    placed = placed.select("cell", "id", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    tasks = placed.select("cell", "id", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"), (F.col("own") > F.col("other")).alias("right"))
+    sent = tasks.join(held.select(F.col("doc_id").alias("id"), "shingles").hint("merge"), "id").select("cell", "l", "r", "right", "id", "shingles")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def finish(rows):
+            t = pa.Table.from_batches(rows).combine_chunks()
+            values = t.column("shingles").chunk(0)
+            flat, at = values.flatten().to_numpy(), values.value_lengths().to_numpy()
+            edges = linked(flat, at, t.column("id").to_numpy(), t.column("right").to_numpy(zero_copy_only=False), rows[0].column("l")[0].as_py() == rows[0].column("r")[0].as_py(), percent)
+            return edges
+
+        held_, key, out = [], None, []
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("cell", "l", "r")), strict=True))
+            at = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[at]:
+                    if held_ and key != keys[at]:
+                        out += finish(held_)
+                        held_ = []
+                    key = keys[at]
+                    held_.append(b.slice(at, i - at))
+                    at = i
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if held_:
+            out += finish(held_)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    dealt = sent.repartition("cell", "l", "r").sortWithinPartitions("cell", "l", "r")
+    links = stored(dealt.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    discard(held)
+    return links
+
+
+def linked(flat: np.ndarray, size: np.ndarray, ids: np.ndarray, right: np.ndarray, alone: bool, percent: int) -> list[tuple]:
+    """Links (id, least id of its group) among sets that stand one after another: all pairs of one block, or of left and right blocks."""
+    at = np.concatenate([[0], np.cumsum(size)])
+    if len(ids) == 2:
+        both = len(np.intersect1d(flat[: at[1]], flat[at[1] :], assume_unique=True))
+        return [(ids[0], ids[1])] if (alone or right[0] != right[1]) and 100 * both >= percent * (at[2] - both) else []
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    code = np.cumsum(new) - 1
+    often = np.bincount(code) > 1
+    keep = often[code]
+    column, row = (np.cumsum(often) - 1)[code[keep]], np.repeat(np.arange(len(ids)), size)[order[keep]]
+    a = np.arange(len(ids)) if alone else np.flatnonzero(~right)
+    b = a if alone else np.flatnonzero(right)
+    if not len(a) or not len(b):
+        return []
+    both = np.zeros((len(a), len(b)), np.float32)
+    low = 0
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        m = np.zeros((len(ids), min(COLUMNS, int(column[j - 1]) - low + 1)), np.float32)
+        m[row[i:j], column[i:j] - low] = 1
+        both += m[a] @ m[b].T
+    hit = 100 * both.astype(np.int64) >= percent * (size[a][:, None] + size[b][None, :] - both.astype(np.int64))
+    if alone:
+        np.fill_diagonal(hit, False)
+    edges: set = set()
+    connect(hit, (left := ids[a].astype(np.int64)), left if alone else ids[b].astype(np.int64), edges)
+    return sorted(edges)
