@@ -156,14 +156,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
     """Append score (0 to 1) and predicted (1 if score >= threshold, else 0) to every row.
 
     Only the text is looked at. Null and empty texts have the statistics 0 and are scored too;
-    repeated rows get the same score; columns of `docs` named like the new ones are replaced.
+    scores are rounded to nine digits, so repeated rows get the same; columns of `docs` named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         import pyarrow as pa
 
-        return lambda batch: [pa.array(np.clip(shared.value.score(statistics(*buffers(batch.column(text)))), 0, 1))]
+        return lambda batch: [pa.array(np.round(np.clip(shared.value.score(statistics(*buffers(batch.column(text)))), 0, 1), 9))]
 
     out = map_text(docs, text, [("score", "double")], make, keep)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

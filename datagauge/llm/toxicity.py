@@ -129,14 +129,14 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.5, text: str =
     """Append score (0 to 1) and predicted (1 if score >= threshold, else 0) to every row.
 
     Only the text is looked at, the whole of it. Null and empty texts have no terms and get the score of the
-    bias; repeated rows get the same score; columns of `docs` named like the new ones are replaced.
+    bias; scores are rounded to nine digits, so repeated rows get the same; columns of `docs` named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
         import pyarrow as pa
 
-        return lambda batch: [pa.array(shared.value.score(*terms(*buffers(batch.column(text)))))]
+        return lambda batch: [pa.array(np.round(shared.value.score(*terms(*buffers(batch.column(text)))), 9))]
 
     out = map_text(docs, text, [("score", "double")], make, keep)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
