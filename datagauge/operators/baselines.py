@@ -60,6 +60,11 @@ def midrank(value: str, within: list[str], weight: Column | None = None) -> Colu
     return upto - (F.sum(weight).over(Window.partitionBy(*within, value)) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; null where a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def regression_metrics(rows: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
     """MAE, RMSE, R2, Pearson and Spearman of each group; null where a side is constant or a row stands alone.
 
@@ -73,7 +78,7 @@ def regression_metrics(rows: DataFrame, y: str, p: str, by: list[str] = ()) -> D
     return ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
         F.when(spread(y), 1 - F.sum(error * error) / (F.var_pop(y) * F.count("*"))).alias("r2"),
-        F.when(both, F.corr(y, p)).alias("pearson"), F.when(both, F.corr("_ry", "_rp")).alias("spearman"),
+        F.when(both, correlation(y, p)).alias("pearson"), F.when(both, correlation("_ry", "_rp")).alias("spearman"),
     )
 
 

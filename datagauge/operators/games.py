@@ -11,7 +11,7 @@ from math import comb
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from datagauge.operators.baselines import midrank
+from datagauge.operators.baselines import correlation, midrank
 from datagauge.operators.contracts import require
 
 #: Exact values enumerate 2 ** players coalitions.
@@ -144,7 +144,7 @@ def value_agreement(values: DataFrame, a: str, b: str, item: str, tops: tuple[in
     both = lambda k: ((F.col("_a") <= k) & (F.col("_b") <= k)).cast("int")
     low = lambda k: ((F.col("_a") > F.col("_n") - k) & (F.col("_b") > F.col("_n") - k)).cast("int")
     got = ranked.agg(
-        F.when(some, F.corr("_ma", "_mb")).alias("spearman"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mean_rank_change"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_rank_change"),
+        F.when(some, correlation("_ma", "_mb")).alias("spearman"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mean_rank_change"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_rank_change"),
         F.count_if(F.col("_a") == F.col("_b")).alias("same_rank"), F.avg((F.signum(a) == F.signum(b)).cast("double")).alias("sign_agreement"),
         *[(F.sum(both(k)) / k).alias(f"top{k}") for k in tops], *[(F.sum(low(k)) / k).alias(f"bottom{k}") for k in tops],
     )
@@ -216,4 +216,4 @@ def ame(design: DataFrame, utilities: DataFrame) -> DataFrame:
             x = np.nan_to_num((x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True))
         return pd.DataFrame({"player": range(x.shape[1]), "value": lasso(x, pdf["utility"] - pdf["utility"].mean())})
 
-    return wide.groupBy(F.lit(0)).applyInPandas(fit, "player int, value double")  # a design has a few thousand rows
+    return wide.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "player int, value double")  # a design has a few thousand rows
