@@ -1 +1 @@
-
+"""Nothing here: the specified operators are all batch operators."""
