@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from datagauge.llm.frames import table
+from datagauge.llm.oracles import ORACLES
 
 #: The folder of tokenizer files is a parameter: the installed package's, unless the session names another.
 TOKENIZERS = "spark.datagauge.tokenizers"
@@ -116,4 +117,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "tokenizer"]
