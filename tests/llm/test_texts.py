@@ -135,6 +135,16 @@ def test_pages(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_hints_of_wrappers_are_not_boilerplate():
+    from datagauge.llm.html_text import lines_of
+
+    said = lambda page: [s for s, _ in lines_of(page)]
+    assert said("<div class=\"has-sidebar x\"><p>a</p><div class=\"post-comments\">c</div></div>") == ["a"]
+    assert said("<article class=\"post-ad\"><p>t</p><article class=\"comment\">c</article></article>") == ["t"]
+    assert said("<div id=\"ad\"><p>only</p></div>") == ["only"]
+    assert said("<header>h</header><article><header><h1>T</h1></header>b</article>") == ["T", "b"]
+
+
 def test_pages_of_the_tables(spark, sf_dir):
     from datagauge.llm.registry import op4_html_text
 
