@@ -21,9 +21,9 @@ from datagauge.llm.frames import stored
 SLACK = 1e-9
 
 
-def units(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and which rows have one; a row is bad if it is null, empty, zero or holds a null or non-finite component."""
-    width = max((len(v) for v in vectors if v is not None), default=0)
+def units(vectors: list, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in double precision and which rows have one; a row is bad if it is null, empty, zero, of another length than width (0: the longest) or holds a null or non-finite component."""
+    width = width or max((len(v) for v in vectors if v is not None), default=0)
     out = np.full((len(vectors), width), np.nan)
     for i, v in enumerate(vectors):
         if v is not None and len(v) == width:
@@ -67,7 +67,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = 0, block
     """Rows of vectors with n_links, component_id and kept.
 
     Vectors link at a cosine of at least `least`, in double precision. Null, zero and empty vectors, those with null or
-    non-finite components, and those of another length than the longest of their batch link with nothing.
+    non-finite components, and those of another length than the longest of the sample link with nothing.
     component_id is the smallest vec_id reachable, kept is vec_id = component_id. A vec_id that occurs with
     several vectors counts each of them, a repeated row is one vector; null vec_ids link with nothing, and are kept. Columns named like the new ones are replaced.
 
@@ -94,9 +94,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = 0, block
         import pandas as pd
 
         for b in batches:
-            x, ok = units(b["v"].tolist())
+            x, ok = units(b["v"].tolist(), pivot.value.shape[1])
             x, ids = x[ok], b["vec_id"].to_numpy()[ok]
-            if len(x) and x.shape[1] == pivot.value.shape[1]:
+            if len(x):
                 d = distances(x, pivot.value)
                 cell = d.argmin(1)
                 yield pd.DataFrame({"vec_id": ids, "x": list(x), "cell": cell, "d": d[np.arange(len(x)), cell], "row": 0})
