@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     top = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").appName("tests")
+        SparkSession.builder.master("local[2]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{top}/shared")
         .getOrCreate()
