@@ -33,19 +33,23 @@ def balanced_folds(rows: DataFrame, group: str, namespace: str, folds: int = 5,
     return rows.sparkSession.createDataFrame(out, f"`{group}` {kind}, support bigint, fold int")
 
 
-def hashed_fold(rows: DataFrame, uid: str, namespace: str, folds: int = 5, groups: int = 4096) -> DataFrame:
-    """rows with fold: the rank of a row's hash, from 0, modulo folds. Ties go by uid.
+def hash_rank(rows: DataFrame, uid: str, namespace: str) -> DataFrame:
+    """rows with rank, from 1, by hash, then uid.
 
-    Ranks are exact and global without one sorted partition: hashes are ranked within `groups` equal ranges of
-    their first three digits, and each range starts where the counts of those before it end.
+    Ranks are exact and global without one sorted partition: hashes are ranked within the 4,096 ranges of their
+    first three digits, and each range starts where the counts of those before it end.
     """
-    require(groups == 4096, "ranges are those of three hexadecimal digits")
     keyed = rows.withColumn("_h", hash_key(namespace, F.col(uid))).withColumn("_g", F.substring("_h", 1, 3))
     starts = keyed.groupBy("_g").agg(F.count("*").alias("_n"))
     starts = starts.withColumn("_start", F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)))  # 4096 rows at most
-    local = F.row_number().over(Window.partitionBy("_g").orderBy("_h", uid))
-    ranked = keyed.withColumn("_r", local).join(F.broadcast(starts.select("_g", F.coalesce("_start", F.lit(0)).alias("_start"))), "_g")
-    return ranked.withColumn("fold", F.pmod(F.col("_r") - 1 + F.col("_start"), F.lit(folds)).cast("int")).drop("_h", "_g", "_r", "_start")
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_h", uid)))
+    ranked = ranked.join(F.broadcast(starts.select("_g", F.coalesce("_start", F.lit(0)).alias("_start"))), "_g")
+    return ranked.withColumn("rank", F.col("_r") + F.col("_start")).drop("_h", "_g", "_r", "_start")
+
+
+def hashed_fold(rows: DataFrame, uid: str, namespace: str, folds: int = 5) -> DataFrame:
+    """rows with fold: the rank of a row's hash, from 0, modulo folds. Ties go by uid."""
+    return hash_rank(rows, uid, namespace).withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(folds)).cast("int")).drop("rank")
 
 
 def long_folds(assigned: DataFrame, uid: str, folds: int = 5) -> DataFrame:
@@ -151,7 +155,9 @@ def crosswalk(rows: DataFrame, registry: DataFrame, key: list[str]) -> DataFrame
 
 
 def hash_order(rows: DataFrame, uid: str, namespace: str, within: list[str] = ()) -> DataFrame:
-    """rows with rank: their order by hash, then uid, within groups."""
+    """rows with rank: their order by hash, then uid, within groups, or of all rows."""
+    if not within:
+        return hash_rank(rows, uid, namespace)
     key = hash_key(namespace, *[F.col(c) for c in within], F.col(uid))
     return rows.withColumn("_h", key).withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy("_h", uid))).drop("_h")
 

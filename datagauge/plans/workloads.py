@@ -69,7 +69,7 @@ SELECT c_custkey, CAST(rank AS INT) AS rank, CAST(floor((rank - 1) / 8) AS INT)
 def interaction_groups(spark, sf_dir):
     """Three groups of eight in order of hash."""
     ordered = splits.hash_order(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", NAMESPACE)
-    return splits.interaction_groups(ordered).select("c_custkey", "rank", "group")
+    return splits.interaction_groups(ordered).select("c_custkey", F.col("rank").cast("int").alias("rank"), "group")
 
 
 @query("""
