@@ -157,10 +157,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", crowd
     passages of one hash that a task indexes; those of others are counted, with the same result.
     A column of docs named spans is replaced.
     """
-    base = docs.drop("spans").withColumn("th", F.xxhash64(F.col(f"`{text}`"))) if "th" not in docs.columns else None
-    if base is None:
-        raise ValueError("docs has a column th, which is used here")
-    own = base.select("doc_id", "th", F.col(f"`{text}`").alias("text"))
+    th = "_" + max([*docs.columns, "th"], key=len)  # longer than any name there is
+    base = docs.drop("spans").withColumn(th, F.xxhash64(F.col(f"`{text}`")))
+    own = base.select("doc_id", F.col(th).alias("th"), F.col(f"`{text}`").alias("text"))
     table = stored(passage_table(own, length), "passages")
     seen = table.groupBy("h").agg(F.count("*").alias("places"), F.min("ch").alias("lo"), F.max("ch").alias("hi"), F.max("loops").alias("loops")).where("places > 1 or loops")
     shared = stored(table.drop("loops").join(seen.select("h", F.expr("lo = hi and places > 1").alias("same")), "h"), "shared")
@@ -177,14 +176,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", crowd
     marks = marks.unionByName(indexed(few, length)).unionByName(counted(parts.where("many"), length))
     spans = marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
     spans = stored(spans, "marks")
-    joined = base.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th")), "left")
+    joined = base.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{th}") == F.col("s.th")), "left")
     merged = F.aggregate(
         F.array_sort("s.marks"), F.array().cast("array<struct<start:int,stop:int>>"),
         lambda done, m: F.when((F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= m["start"]),
             F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], m["start"] + m["n"] + (length - 1)).alias("stop")))))
         .otherwise(F.concat(done, F.array(F.struct(m["start"].alias("start"), (m["start"] + m["n"] + (length - 1)).alias("stop"))))),
     )
-    return joined.select("d.*", F.coalesce(merged, F.array().cast("array<struct<start:int,stop:int>>")).alias("spans")).drop("th")
+    return joined.select("d.*", F.coalesce(merged, F.array().cast("array<struct<start:int,stop:int>>")).alias("spans")).drop(th)
 
 
 def without_spans(docs: DataFrame, output: tuple[str, ...], text: str = "text", keep: list[str] | None = None) -> DataFrame:

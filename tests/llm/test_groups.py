@@ -77,7 +77,7 @@ def test_repeats(spark, crowd):
 
     rows = [*corpus(), (900, "é" * 80 + "z"), (901, "q" + "é" * 80)]
     rows += [rows[3], (None, rows[4][1])]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'clash' as n_bytes", "'clash' as spans").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'clash' as n_bytes", "'clash' as spans", "1 as th", "1 as marks").repartition(3)
     out = without_spans(repeated_spans(df, 40, crowd=crowd), ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=repr) == brute.repeats(rows, 40)
     assert all(r.kept is None for r in out if r.text is None)
