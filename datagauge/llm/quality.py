@@ -23,6 +23,7 @@ CLASS_OF = np.full(256, CLASSES.index("other"), np.int64)
 for _name, _bytes in (("upper", range(65, 91)), ("lower", range(97, 123)), ("digit", range(48, 58)), ("space", b" \t"), ("newline", b"\n\r"), ("bar", b"|"), ("shout", b"!"), ("symbol", b"#$%&*+<=>@^_~/\\{}"), ("stop", b".,;:?"), ("wide", range(128, 256)), ("control", [*range(9), 11, 12, *range(14, 32), 127])):
     CLASS_OF[list(_bytes)] = CLASSES.index(_name)
 STATISTICS = len(CLASSES) + 10
+PARTS = 8
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -92,7 +93,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(rows: DataFrame, work, width: int) -> np.ndarray:
-    """The sum over a bounded sample's few partitions of what work makes of each."""
+    """The sum over PARTS partitions at most of what work makes of each: the driver holds two sums at a time, however the sample was dealt."""
 
     def run(batches):
         import pandas as pd
@@ -102,7 +103,8 @@ def sums(rows: DataFrame, work, width: int) -> np.ndarray:
             total += work(np.stack(b["x"].to_numpy()), b["y"].to_numpy()) if len(b) else 0
         yield pd.DataFrame({"total": [total.tobytes()]})
 
-    return np.sum([np.frombuffer(r.total) for r in rows.mapInPandas(run, "total binary").collect()], axis=0)
+    parts = rows.coalesce(PARTS).mapInPandas(run, "total binary")
+    return sum((np.frombuffer(r.total) for r in parts.toLocalIterator()), np.zeros(width))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000, dimensions: int = 256, ridge: float = 1e-2, width: float = 8.0, text: str = "text") -> Model:
@@ -112,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     """
     sample = map_text(training_rows(docs, labels, label, most, text), "text", [("x", "array<double>")], lambda: vectors("text"), ["doc_id", "y"])
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    rows = sample.select("x", "y", fold.alias("calibrates")).repartition(8, "doc_id").cache()
+    rows = sample.select("x", "y", fold.alias("calibrates")).repartition(PARTS, "doc_id").cache()
     try:
         d = STATISTICS
         moments = sums(rows, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]), 2 * d + 1)
