@@ -1,7 +1,8 @@
 """Training-order materialisation: a keyed permutation of sequences, written as fixed-stride shards.
 
 Texts become token identifiers, cut into sequences of `length` (the last of a document padded). A
-sequence's number is its place in order of doc_id; a keyed Feistel network over the least even number of bits
+sequence's number is its place in the order of the table's splits (the same files read with the same settings
+give the same numbers), so texts aren't shuffled; a keyed Feistel network over the least even number of bits
 that holds the count, walked along its cycle until the result is below the count, gives each a
 global slot: a permutation that needs no table. Slot s is row s % rows of shard s // rows, at byte
 (s % rows) * stride of its file, so a reader can stop and go on anywhere without an index.
@@ -48,7 +49,7 @@ def filesystem(path: str):
 
 
 def tokenised(docs: DataFrame, ranks_path: str, pattern: str, text: str, length: int) -> DataFrame:
-    """(part, before, doc_id, ids) in order of doc_id; before is the number of sequences earlier in the part."""
+    """(part, before, sequences, doc_id, ids) in the order of the table's splits; before is the number of sequences earlier in the part."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
 
@@ -66,21 +67,20 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, text: str, length:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(before + np.cumsum(n) - n), pa.array(n), b.column("doc_id"), made], names=["part", "before", "sequences", "doc_id", "ids"])
             before += int(n.sum())
 
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, f"part int, before bigint, sequences bigint, doc_id {kind}, ids binary")
+    return own.mapInArrow(run, f"part int, before bigint, sequences bigint, doc_id {kind}, ids binary")
 
 
 def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, length: int = 512, pad: int = 50_256, rows: int = 16_384, key: str = "epoch-0", text: str = "text") -> DataFrame:
     """Write shards under path; returns their manifest: (slot, shard, doc_id, seq_no, n_tokens), a row for each sequence.
 
     Identifiers are little-endian uint16. Null and empty texts have no sequence. Repeated rows are sequences of their own, in
-    any order among equals, which are the same bytes; null ids come first. Other columns are not read. A shard is
-    written under a name of its attempt and then renamed, so a task that runs again leaves whole files.
+    any order among equals, which are the same bytes; null ids pass through. Other columns are not read. A shard is
+    padded and written under a name of its attempt and then renamed, so a task that runs again leaves whole files.
     """
     if not 0 <= pad < 1 << 16:
         raise ValueError("identifiers are uint16")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = stored(tokenised(docs, ranks_path, pattern, text, length), "tokens")
+    tokens = stored(tokenised(docs, ranks_path, pattern, text, length), "tokens", "zstd")
     release(docs.sparkSession)
     base, count = {}, 0
     for part, n in sorted((r.part, r.n) for r in tokens.groupBy("part").agg(F.sum("sequences").alias("n")).collect()):  # one row a part
@@ -100,7 +100,7 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, lengt
                     for s in range(0, len(raw), 2 * length):
                         piece = raw[s : s + 2 * length]
                         n.append(len(piece) // 2)
-                        out.append(piece + filler[len(piece) :])
+                        out.append(piece)
                         row.append(j)
                         seq.append(s // (2 * length))
                 slot = slots(first[np.array(row, np.int64)] + np.array(seq, np.int64), count, key)
@@ -129,7 +129,7 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, lengt
                     finish()
                     now = int(shard[i])
                     out = fs.open_output_stream(f"{folder}/.shard-{now:08d}-{attempt}")
-                out.write(b"".join(b.column("row").slice(i, j - i).to_pylist()))
+                out.write(b"".join(piece + filler[len(piece) :] for piece in b.column("row").slice(i, j - i).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("slot", "shard", "doc_id", "seq_no", "n_tokens")], names=["slot", "shard", "doc_id", "seq_no", "n_tokens"])
         finish()
 
