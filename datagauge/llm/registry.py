@@ -78,7 +78,7 @@ def op7_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     manifest = materialise(table(spark, sf_dir, "documents"), path, tokenizer(spark, "byte_bpe_multi_50k.tiktoken"), PATTERN, 512, rows=8192)
-    return manifest.join(digests(manifest, path, 512, 8192), "slot")
+    return manifest.join(digests(manifest, path, 512, 8192).hint("merge"), "slot")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
