@@ -6,7 +6,7 @@ inequality d(x, p_j) <= d(y, p_j) + r <= radius_j + r; and as y is on p_j's side
 and p_j, x is no further than r beyond it: (d(x, p_j)**2 - d(x, p_i)**2) / (2 d(p_i, p_j)) <= r.
 Where both hold, x is a guest of cell j, if j < i (a pair over two cells is met in the lower). Cells then join
 on their own: homes with homes and with guests. A cell is cut into blocks of bounded size, and pairs of
-blocks are the tasks, so a crowded cell is shared out.
+blocks are the tasks, so a crowded cell is shared out. Vectors of each length have pivots and cells of their own.
 """
 
 from __future__ import annotations
@@ -67,44 +67,56 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = 0, block
     """Rows of vectors with n_links, component_id and kept.
 
     Vectors link at a cosine of at least `least`, in double precision. Null, zero and empty vectors, those with null or
-    non-finite components, and those of another length than the longest of the sample link with nothing.
+    non-finite components link with nothing; all others link with those of their own length.
     component_id is the smallest vec_id reachable, kept is vec_id = component_id. A vec_id that occurs with
     several vectors counts each of them, a repeated row is one vector; null vec_ids link with nothing, and are kept. Columns named like the new ones are replaced.
 
-    `pivots` vectors (0: one for each `block` rows, 4 to 512) come from a sample of at most
-    `sample` rows, chosen by hash; it only shapes the cells, the result doesn't depend on it.
+    `pivots` vectors of each length (0: one for each `block` rows, 4 to 512) come from a sample of at most
+    `sample` rows, chosen by hash, and one row of each length that it misses; it only shapes the cells, the result
+    doesn't depend on it. The driver holds one count a length.
     """
     spark = vectors.sparkSession
     reach = float(np.sqrt(2 - 2 * least)) + SLACK
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col(f"`{vector}`").isNotNull()).select("vec_id", F.col(f"`{vector}`").alias("v")).distinct()
-    total = rows.count()
-    drawn, good = units([list(r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()])
-    drawn = drawn[good]
+    own = F.transform(F.col(f"`{vector}`"), lambda c: c.cast("double"))
+    rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", own.alias("v")).distinct()
+    rows = rows.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
+    sizes = {r.n: r for r in rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.min(F.xxhash64("vec_id", "v")).alias("least")).collect()}  # one row a length
     base = vectors.select(*[c for c in vectors.columns if c not in ("n_links", "component_id", "kept")])
-    if not len(drawn):
+    if not sizes:
         return base.withColumn("n_links", F.lit(0).cast("bigint")).withColumn("component_id", F.col("vec_id")).withColumn("kept", F.lit(True))
-    wanted = min(pivots or min(max(total // block, 4), 512), len(drawn))
-    chosen, far = [0], distances(drawn, drawn[:1])[:, 0]
-    while len(chosen) < wanted and far.max() > reach:  # far from those before
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, distances(drawn, drawn[chosen[-1:]])[:, 0])
-    pivot = spark.sparkContext.broadcast(drawn[chosen])
+    sampled = [list(r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+    missed = [(n, r.least) for n, r in sizes.items() if n not in set(map(len, sampled))]
+    if missed:
+        firsts = spark.createDataFrame(missed, "n int, least bigint")
+        sampled += [list(r.v) for r in rows.join(F.broadcast(firsts), (F.size("v") == F.col("n")) & (F.xxhash64("vec_id", "v") == F.col("least")), "left_semi").collect()]
+    cells_of, n_cells = {}, 0  # length: its first cell and its pivots
+    for n in sorted(sizes):
+        drawn, _ = units([v for v in sampled if len(v) == n])
+        wanted = min(pivots or min(max(sizes[n].rows // block, 4), 512), len(drawn))
+        chosen, far = [0], distances(drawn, drawn[:1])[:, 0]
+        while len(chosen) < wanted and far.max() > reach:  # far from those before
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, distances(drawn, drawn[chosen[-1:]])[:, 0])
+        cells_of[n] = n_cells, drawn[chosen]
+        n_cells += len(chosen)
+    pivot = spark.sparkContext.broadcast(cells_of)
 
     def home(batches):
         import pandas as pd
 
         for b in batches:
-            x, ok = units(b["v"].tolist(), pivot.value.shape[1])
-            x, ids = x[ok], b["vec_id"].to_numpy()[ok]
-            if len(x):
-                d = distances(x, pivot.value)
+            size = b["v"].map(len).to_numpy()
+            for n in np.unique(size).tolist():
+                first, p = pivot.value[n]
+                x, _ = units(b["v"][size == n].tolist(), n)
+                d = distances(x, p)
                 cell = d.argmin(1)
-                yield pd.DataFrame({"vec_id": ids, "x": list(x), "cell": cell, "d": d[np.arange(len(x)), cell], "row": 0})
+                yield pd.DataFrame({"vec_id": b["vec_id"].to_numpy()[size == n], "x": list(x), "cell": first + cell, "d": d[np.arange(len(x)), cell], "row": 0})
 
     homes = stored(rows.mapInPandas(home, "vec_id bigint, x array<double>, cell int, d double, row int").withColumn("row", F.pmod(F.xxhash64("vec_id", "x"), F.lit(2**31 - 1)).cast("int")), "homes")
     cells = {r.cell: (r.n, r.radius) for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}  # one row a pivot
-    radius = np.full(len(chosen), -10.0)
-    blocks = np.zeros(len(chosen), np.int64)
+    radius = np.full(n_cells, -10.0)
+    blocks = np.zeros(n_cells, np.int64)
     for c, (n, r) in cells.items():
         radius[c], blocks[c] = r, -(-n // block)
 
@@ -112,23 +124,27 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = 0, block
         """Each vector goes to the pairs of blocks of its own cell that hold its block, and as a guest to each block of other cells near enough."""
         import pandas as pd
 
-        p = pivot.value
-        apart = distances(p, p)
-        for b in batches:
-            x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, p.shape[1]))
-            d, cell, at = distances(x, p), b["cell"].to_numpy(), b["row"].to_numpy()
-            near = (d <= radius[None, :] + reach) & (d**2 - (d[np.arange(len(x)), cell] ** 2)[:, None] <= 2 * reach * apart[cell] + SLACK)
-            out = []
-            for i in range(len(x)):
-                c, own = cell[i], at[i] % blocks[cell[i]]
-                for j in range(blocks[c]):
-                    out.append((i, c, min(own, j), max(own, j), 0 if own <= j else 1))
-                for g in np.flatnonzero(near[i]):
-                    if g < c:
-                        out.extend((i, g, j, -1, 2) for j in range(blocks[g]))
-            k = np.array(out, np.int64).reshape(-1, 5)
-            for part in np.array_split(k, max(1, len(k) // 20_000)):
-                yield pd.DataFrame({"cell": part[:, 1], "left": part[:, 2], "right": part[:, 3], "side": part[:, 4], "vec_id": b["vec_id"].to_numpy()[part[:, 0]], "row": at[part[:, 0]], "x": list(x[part[:, 0]])})
+        apart = {n: distances(p, p) for n, (_, p) in pivot.value.items()}
+        for whole in batches:
+            size = whole["x"].map(len).to_numpy()
+            for n in np.unique(size).tolist():
+                yield from sent_to(pd, whole[size == n], *pivot.value[n], apart[n])
+
+    def sent_to(pd, b, first, p, apart):
+        x = np.stack(b["x"].to_numpy())
+        d, cell, at = distances(x, p), b["cell"].to_numpy() - first, b["row"].to_numpy()
+        near = (d <= radius[None, first : first + len(p)] + reach) & (d**2 - (d[np.arange(len(x)), cell] ** 2)[:, None] <= 2 * reach * apart[cell] + SLACK)
+        out = []
+        for i in range(len(x)):
+            c, own = first + cell[i], at[i] % blocks[first + cell[i]]
+            for j in range(blocks[c]):
+                out.append((i, c, min(own, j), max(own, j), 0 if own <= j else 1))
+            for g in first + np.flatnonzero(near[i]):
+                if g < c:
+                    out.extend((i, g, j, -1, 2) for j in range(blocks[g]))
+        k = np.array(out, np.int64).reshape(-1, 5)
+        for part in np.array_split(k, max(1, len(k) // 20_000)):
+            yield pd.DataFrame({"cell": part[:, 1], "left": part[:, 2], "right": part[:, 3], "side": part[:, 4], "vec_id": b["vec_id"].to_numpy()[part[:, 0]], "row": at[part[:, 0]], "x": list(x[part[:, 0]])})
 
     sent = homes.mapInPandas(tasks, "cell int, left int, right int, side int, vec_id bigint, row int, x array<double>")
     # guests of a block are many in a crowd: they are shared out over tasks by hash, each with a copy of the block

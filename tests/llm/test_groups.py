@@ -177,6 +177,24 @@ def test_embeddings(spark, block):
     assert near_vectors(df.limit(0)).count() == 0 and near_vectors(df.where("vec_id >= 500")).count() == 5
 
 
+@pytest.mark.parametrize(("block", "sample"), [(2048, 4096), (4, 1)])
+def test_embeddings_of_several_lengths(spark, block, sample):
+    from datagauge.llm.embeddings import near_vectors
+
+    short = [v for _, v in vectors()]
+    every = [*short, *[[*v, *v[:3]] for v in short], [1.0] * 32]
+    links = []
+    for n in {len(v) for v in every}:
+        at = [i for i, v in enumerate(every) if len(v) == n]
+        x = np.array([every[i] for i in at])
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        links += [(at[i], at[j]) for i, j in np.argwhere(x @ x.T >= 0.95).tolist() if i != j]
+    found = brute.components(range(len(every)), links)
+    got = near_vectors(spark.createDataFrame(list(enumerate(every)), "vec_id bigint, embedding array<double>"), block=block, sample=sample).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (sum(a == i for a, _ in links), found[i]) for i in range(len(every))}
+    assert {len(every[a]) for a, _ in links} == {8, 11}
+
+
 def test_pipeline_stages_on_their_own_input(spark, sf_dir):
     import corpus_pipeline as pipeline
     from datagauge.llm.quality import classify
