@@ -1,7 +1,7 @@
 """A corpus pipeline: STAGES take (spark, docs, sf_dir) and return a DataFrame, the next one's docs.
 
-quality drops documents that the classifier rejects; near_duplicates keeps one document (the smallest id) of each
-group; repeats cuts out strings of 200 bytes that occur more than once, wherever they stand (whole
+quality drops documents that the classifier rejects; near_duplicates keeps one row (of the smallest id, null
+last) of each group, whatever the ids of its rows; repeats cuts out strings of 200 bytes that occur more than once, wherever they stand (whole
 characters only, so a document can come out empty but stays); decontamination drops documents that hold
 a benchmark item; tokens encodes what is left and decodes it again. All but the last return
 the columns of documents, with n_chars of the text as it then is. SQL can't express the first stage.
@@ -9,12 +9,12 @@ the columns of documents, with n_chars of the text as it then is. SQL can't expr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datagauge.llm.byte_bpe import encode
 from datagauge.llm.decontamination import contaminated
-from datagauge.llm.frames import table
+from datagauge.llm.frames import stored, table
 from datagauge.llm.minhash import near_duplicates
 from datagauge.llm.quality import classify
 from datagauge.llm.registry import tokenizer
@@ -28,8 +28,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, a similarity of 0.8."""
-    return near_duplicates(docs, words=5).where("kept").select(*docs.columns)
+    """One row of each group of near-duplicates: five words, a similarity of 0.8.
+
+    Rows are told apart by a 64-bit hash of id and text, so that rows of one id, or of none, are grouped by their texts like
+    all others; of a row that occurs again one is kept. Texts without words are near no other.
+    """
+    key = F.xxhash64("doc_id", "text")
+    named = docs.select(key.alias("doc_id"), F.col("doc_id").alias("own"), "text")
+    rows = near_duplicates(named, words=5).groupBy(F.col("doc_id").alias("key"), "own", "component_id").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "key", "copies")).alias("first")
+    kept = stored(rows.groupBy("component_id").agg(first).select("first.own", "first.key", "first.copies"), "kept")
+    names = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    left = docs.withColumn("_key", key).alias("d").join(kept.alias("k"), (F.col("d._key") == F.col("k.key")) & F.col("d.doc_id").eqNullSafe(F.col("k.own")))
+    if not kept.where("copies > 1").limit(1).count():
+        return left.select(*names)
+    once = left.where("k.copies = 1").select(*names)
+    again = left.where("k.copies > 1").withColumn("_rank", F.row_number().over(Window.partitionBy("k.key").orderBy(F.xxhash64(*names))))
+    return once.unionByName(again.where("_rank = 1").select(*names))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +58,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"), 0.8).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct("doc_id", F.xxhash64("text").alias("th"))  # ids can be null, or have several texts
+    found = contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), 0.8).select("doc_id.*").distinct()
+    both = docs.withColumn("_th", F.xxhash64("text")).alias("d")
+    gone = found.alias("f")
+    return both.join(gone, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._th") == F.col("f.th")), "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,3 +224,30 @@ def test_pipeline_stages_on_their_own_input(spark, sf_dir):
     leaks = {d for d, _ in brute.contaminated([(r.doc_id, r.text) for r in before.collect()], items)}
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} - leaks
     assert {r.doc_id for r in kept["tokens"][1].collect()} == {r.doc_id for r in after.collect()}
+
+
+def test_pipeline_keeps_one_row_of_copies(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(4)
+    said = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e, near = (said(60) for _ in range(6))
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first().text
+    rows = [(1, a), (1, a), (None, b), (None, b), (None, c), (2, d), (2, e), (2, e), (3, near), (3, near + " more"), (None, leak), (4, leak + " " + said(1)), (5, "other " + said(50)), (None, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "length(text) as n_chars").repartition(3)
+    for name in ("near_duplicates", "repeats", "decontamination"):
+        docs = dict(pipeline.STAGES)[name](spark, docs, sf_dir)
+        if name == "near_duplicates":
+            assert sum(r.text in (near, near + " more") for r in docs.collect()) == 1
+    got = docs.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got if r.doc_id != 3) == sorted([(1, a), (0, b), (0, c), (2, d), (2, e), (5, rows[12][1]), (0, ""), (6, "")])
+    assert [r.text for r in got if r.doc_id == 3] in ([near], [near + " more"])
+
+
+def test_decontamination_drops_rows_without_id(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(None, leak), (None, "clean"), (1, leak), (1, "clean too"), (2, None)], "doc_id bigint, text string")
+    got = pipeline.decontamination(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "clean"), (1, "clean too"), (2, "")]
