@@ -135,6 +135,21 @@ def test_pages(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_pages_keep_their_text(spark, monkeypatch):
+    from datagauge.llm import html_text
+
+    main = "<body><p>Shared top<main><p>Story {0} begins and goes on</p><p>It ends {0} after all.</p></main><p>Shared low</body>"
+    said = lambda n: f"Story {n} begins" + "\n\n" + f"It ends {n}."
+    pages = [(i, f"http://b.example/s/1?v={i}", PLAIN.format("one"), said("one")) for i in range(300)]
+    pages += [(300, "http://b.example/s/1/print", "<div>Story one begins</div><p>It ends one.", said("one")), *[(301 + i, "http://b.example/s/2" + "0" * i, PLAIN.format(n), said(n)) for i, n in enumerate(("two", "four"))]]
+    pages += [(400 + i, f"http://c.example/{i}", main.format("three"), "Story three begins and goes on\n\nIt ends three after all.") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, want string").repartition(1)
+    for sent in (html_text.SENT, 50):
+        monkeypatch.setattr(html_text, "SENT", sent)
+        got = html_text.extract(df).collect()
+        assert len(got) == len(pages) and all(r.text == r.want for r in got)
+
+
 def test_hints_of_wrappers_are_not_boilerplate():
     from datagauge.llm.html_text import lines_of
 
