@@ -300,17 +300,24 @@ def crossfit_utility(spark, sf_dir):
     return rounded(games.crossfit_utility(spark.createDataFrame(rows, "coalition string, player bigint"), stats, registry))
 
 
+def fold_scores(spark, sf_dir) -> DataFrame:
+    """(player, score) of eight players that share out all suppliers by id, so that every line item counts."""
+    player = F.pmod("task", F.lit(8)).cast("int").alias("player")
+    return observations(spark, sf_dir).groupBy(player).agg(F.avg("accuracy").alias("score"))
+
+
 @query()
 def value_agreement(spark, sf_dir):
-    """Agreement of Shapley and Banzhaf values."""
-    values = game(spark, sf_dir).withColumn("a", F.round("shapley", 9)).withColumn("b", F.round("banzhaf", 9))
+    """Agreement of Shapley and Banzhaf values of eight players out of all suppliers."""
+    values = games.exact_values(games.mean_utility(games.coalitions(spark, 8), fold_scores(spark, sf_dir), 8), 8)
+    values = values.withColumn("a", F.round("shapley", 9)).withColumn("b", F.round("banzhaf", 9))
     return rounded(games.value_agreement(values, "a", "b", "player"))
 
 
 @query()
 def permutation_values(spark, sf_dir):
     """Sampled Shapley and Beta values of the eight-player game."""
-    scores = observations(spark, sf_dir).where("task < 8").groupBy(F.col("task").cast("int").alias("player")).agg(F.avg("accuracy").alias("score"))
+    scores = fold_scores(spark, sf_dir)
     design = games.prefix_coalitions(games.permutation_design(spark, NAMESPACE, 1, 8, 100))
     members = design.select("coalition").distinct().select("coalition", F.explode(F.split("coalition", ",").cast("array<int>")).alias("player"))
     utilities = members.join(scores, "player").groupBy("coalition").agg(F.avg("score").alias("utility"))
@@ -320,7 +327,7 @@ def permutation_values(spark, sf_dir):
 @query()
 def reuse_values(spark, sf_dir):
     """Banzhaf values by reuse of random rows."""
-    scores = observations(spark, sf_dir).where("task < 8").groupBy(F.col("task").cast("int").alias("player")).agg(F.avg("accuracy").alias("score"))
+    scores = fold_scores(spark, sf_dir)
     design = games.bernoulli_design(spark, NAMESPACE, 1, 8, 200)
     utilities = design.join(scores, "player").groupBy("row").agg(F.coalesce(F.avg(F.when(F.col("inside") == 1, F.col("score"))), F.lit(0.0)).alias("utility"))
     return rounded(games.reuse_values(design, utilities, [100, 200]))

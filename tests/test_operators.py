@@ -339,3 +339,15 @@ def test_sources(spark, tmp_path):
     readers.write_new(lists, str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exists"):
         readers.write_new(lists, str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("name", ["value_agreement", "permutation_values", "reuse_values"])
+def test_games_read_every_supplier(spark, monkeypatch, name):
+    from datagauge.plans import ranking
+
+    def result(late):
+        rows = [(t, float(t >= 8) * late * (t % 5 + t % 3)) for t in range(24)]
+        monkeypatch.setattr(ranking, "observations", lambda *_: spark.createDataFrame(rows, "task bigint, accuracy double"))
+        return sorted(map(repr, ranking.QUERIES[name](spark, "").collect()))
+
+    assert result(0.1) != result(0.0)
