@@ -7,7 +7,8 @@ RADIUS bits of a window is found. Candidates are verified by the exact weighted
 similarity of their shingles (sum of least counts over sum of greatest).
 
 Only windows that can reach the threshold are hashed: a similarity of t needs 2t / (1 + t) of a window's shingles to be
-shingles of the item, which running counts of shared shingles tell without loss.
+shingles of the item, which running counts of shared shingles tell without loss. Windows with that many are verified
+whatever their fingerprint, as one at the threshold can lie beyond the radius.
 """
 
 from __future__ import annotations
@@ -131,8 +132,9 @@ class Items:
         sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits(g[first:last]), 0)])
         stops = np.minimum(starts + m, high)
         prints = fingerprints(sums[stops - first] - sums[starts - first])
+        enough = np.searchsorted(hits, stops) - np.searchsorted(hits, starts) >= need
         found = None
-        for s, e in zip(*(x[self.within(i, prints)].tolist() for x in (starts, stops)), strict=True):
+        for s, e in zip(*(x[enough | self.within(i, prints)].tolist() for x in (starts, stops)), strict=True):
             window = Counter(g[s:e].tolist())
             both = sum(min(n, self.counts[i][x]) for x, n in window.items() if x in self.counts[i])
             value = both / (e - s + m - both)

@@ -131,6 +131,17 @@ def test_decontamination(spark):
     assert contaminated(df, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_windows_beyond_the_radius_are_verified(monkeypatch):
+    from datagauge.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "RADIUS", 0)
+    words = [f"word{i}" for i in range(49)]
+    items = decontamination.Items([(0, " ".join(words))], 0.8)
+    text = " ".join([*words[:-5], *"a b c d e".split()]).encode()  # 40 of 45 shingles: exactly 0.8
+    got = list(items.matches(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    assert [(r[1], r[2]) for r in got] == [(0, 0.8)]
+
+
 def test_simhash_index_finds_all_within_the_radius():
     from datagauge.llm.decontamination import RADIUS, Items
 
