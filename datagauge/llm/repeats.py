@@ -3,10 +3,13 @@
 Each window of `length` bytes belongs to the least hash of its k-byte strings, so equal windows
 belong to the same hash, whatever document they stand in. A stretch of neighbouring windows
 of one hash is a passage: the windows' text. Hashes of one passage in which they occur once are dropped; a passage that occurs
-twice repeats wholly, without its text being moved. What is left (different passages
-under one hash, one copy of each) is gathered by hash, and a run-length index of each gathering
-gives the longest match of every window. Hashes with very many different passages, which
-no task should hold, count their windows by a 128-bit hash instead.
+twice repeats wholly, which its two 64-bit hashes (least hash and content) tell without its text being moved. What is left
+(different passages under one hash, one copy of each) is gathered by hash, and a run-length index of each
+gathering gives the longest match of every window.
+
+No task holds a hash that very many different passages share: their windows are cut into passages again by the least hash of
+longer strings, so that passages stay together only where they share more. With strings as long as the
+windows all passages under a hash are equal.
 """
 
 from __future__ import annotations
@@ -16,20 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.llm.frames import discard, stored
-from datagauge.llm.kernels import buffers, mix, prefix_hash, ragged, sha256_rows, slices, span_hash
+from datagauge.llm.kernels import buffers, prefix_hash, ragged, sha256_rows, slices, span_hash
 
 K = 32
 LONGEST = 1024
 INDEX_BYTES = 1_000_000
 
 
-def passages(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def passages(data: np.ndarray, offsets: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, ...]:
     """Row, first window, windows, least hash, content hash of all passages, and whether the hash occurs again inside."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
     if len(data) < length:
         return none
     p = prefix_hash(data)
-    k = min(K, length)
     first = np.arange(len(data) - k + 1)
     each = h = span_hash(p, first, first + k)
     width, span = length - k + 1, 1
@@ -60,31 +62,35 @@ def passages(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return row[begin], start - offsets[row[begin]], run, own[begin], content, places > 1
 
 
-def passage_table(docs: DataFrame, length: int) -> DataFrame:
-    """(h, ch, doc_id, th, start, n, loops) of all passages; docs has doc_id, th and text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def passage_table(texts: DataFrame, length: int, k: int, whole: bool = False) -> DataFrame:
+    """(h, ch, doc_id, th, start, n, loops) of all passages, with their bytes if `whole`; texts has doc_id, th, text and at, the text's place in its document."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        for part in slices(batches, "text"):
-            row, start, n, h, ch, loops = passages(*buffers(part.column("text")), length)
+        for part in slices(batches, "text", 100_000 if whole else 2_000_000):
+            data, offsets = buffers(part.column("text"))
+            row, start, n, h, ch, loops = passages(data, offsets, length, k)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ch.view(np.int64)), part.column("doc_id").take(take), part.column("th").take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(loops)],
-                names=["h", "ch", "doc_id", "th", "start", "n", "loops"],
-            )
+            at = part.column("at").to_numpy()[row] + start
+            made = [pa.array(h.view(np.int64)), pa.array(ch.view(np.int64)), part.column("doc_id").take(take), part.column("th").take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(loops)]
+            if whole:
+                size = n + length - 1
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                made.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data[ragged(offsets[row] + start, size)])]))
+            yield pa.RecordBatch.from_arrays(made, names=["h", "ch", "doc_id", "th", "start", "n", "loops", "passage"][: len(made)])
 
-    return docs.mapInArrow(run, f"h bigint, ch bigint, doc_id {kind}, th bigint, start int, n int, loops boolean")
+    return texts.mapInArrow(run, f"h bigint, ch bigint, doc_id {kind}, th bigint, start int, n int, loops boolean" + ", passage binary" * whole)
 
 
 def gathered(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, ch, doc_id, th, start, n, passage) of wanted passages, from a join with their documents."""
-    lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "ch", "start", "n")).alias("own"))
+    """(h, doc_id, th, start, n, passage) of wanted passages, from a join with their documents."""
+    lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "start", "n")).alias("own"))
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))
     both = docs.alias("d").join(lists.alias("w"), same).select("d.doc_id", "d.th", "d.text", "w.own")
     bytes_ = both.withColumn("raw", F.encode("text", "UTF-8")).select("doc_id", "th", "raw", F.explode("own").alias("o"))
-    return bytes_.select("o.h", "o.ch", "doc_id", "th", "o.start", "o.n", F.expr(f"substring(raw, o.start + 1, o.n + {length - 1})").alias("passage"))
+    return bytes_.select("o.h", "doc_id", "th", "o.start", "o.n", F.expr(f"substring(raw, o.start + 1, o.n + {length - 1})").alias("passage"))
 
 
 def indexed(parts: DataFrame, length: int) -> DataFrame:
@@ -123,29 +129,31 @@ def indexed(parts: DataFrame, length: int) -> DataFrame:
         if held:
             yield work(held)
 
-    return parts.sortWithinPartitions("h").mapInArrow(run, schema)
+    return parts.select("h", "doc_id", "th", "start", "n", "passage").repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
 
 
-def counted(parts: DataFrame, length: int) -> DataFrame:
-    """The same by counting windows: for hashes with more passages than a task should hold."""
-    kind = parts.schema["doc_id"].dataType.simpleString()
+def merged(marks: DataFrame, length: int) -> DataFrame:
+    """(doc_id, th, spans) of lists of (start, n) windows: the byte ranges that they cover, maximal and in order."""
+    kind = marks.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        for part in slices(batches, "passage"):
-            data, offsets = buffers(part.column("passage"))
-            n = np.diff(offsets) - length + 1
-            at = ragged(offsets[:-1], n)
-            p = prefix_hash(data)
-            q = prefix_hash(data ^ np.uint8(0x5A))
-            row = pa.array(np.repeat(np.arange(len(n)), n))
-            start = part.column("start").to_numpy()[np.repeat(np.arange(len(n)), n)] + at - np.repeat(offsets[:-1], n)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("th").take(row), pa.array(start.astype(np.int32)), pa.array(span_hash(p, at, at + length).view(np.int64)), pa.array(mix(span_hash(q, at, at + length)).view(np.int64))], names=["doc_id", "th", "start", "w1", "w2"])
+        for batch in batches:
+            lists = batch.column("marks")
+            count = lists.value_lengths().to_numpy().astype(np.int64)
+            start, n = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            row = np.repeat(np.arange(len(count)), count)
+            order = np.lexsort((start, row))
+            start, n, row = start[order], n[order], row[order]
+            stop = start + n + length - 1
+            reach = np.maximum.accumulate((row << 33) + stop)
+            begin = np.flatnonzero(np.concatenate([[True], (row[1:] << 33) + start[1:] > reach[:-1]])) if len(row) else np.zeros(0, np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (start[begin], np.maximum.reduceat(stop, begin) if len(begin) else begin)], names=["start", "stop"])
+            at = np.searchsorted(row[begin], np.arange(len(count) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.ListArray.from_arrays(pa.array(at), pairs)], names=["doc_id", "th", "spans"])
 
-    windows = stored(parts.mapInArrow(run, f"doc_id {kind}, th bigint, start int, w1 bigint, w2 bigint"), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"], "left_semi").select("doc_id", "th", "start", F.lit(1).alias("n"))
+    return marks.mapInArrow(run, f"doc_id {kind}, th bigint, spans array<struct<start:int,stop:int>>")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", crowd: int = 2_000) -> DataFrame:
@@ -153,37 +161,52 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", crowd
     anywhere else too, in the same document or another. Ranges are maximal and in order.
 
     Null and empty texts, and texts of fewer than `length` bytes, have no spans. A row that occurs again is one more place
-    of its strings, so both repeat wholly. Null doc_ids are kept apart from others. `crowd` bounds the different
-    passages of one hash that a task indexes; those of others are counted, with the same result.
+    of its strings, so both repeat wholly. Null doc_ids are kept apart from others. A hash of more than `crowd` different
+    passages is cut again, by longer strings, before its passages are indexed; the result is the same whatever the bound.
     A column of docs named spans is replaced.
     """
+    if length < 1:
+        raise ValueError("strings have one byte at least")
     th = "_" + max([*docs.columns, "th"], key=len)  # longer than any name there is
     base = docs.drop("spans").withColumn(th, F.xxhash64(F.col(f"`{text}`")))
     own = base.select("doc_id", F.col(th).alias("th"), F.col(f"`{text}`").alias("text"))
-    table = stored(passage_table(own, length), "passages")
-    seen = table.groupBy("h").agg(F.count("*").alias("places"), F.min("ch").alias("lo"), F.max("ch").alias("hi"), F.max("loops").alias("loops")).where("places > 1 or loops")
-    shared = stored(table.drop("loops").join(seen.select("h", F.expr("lo = hi and places > 1").alias("same")), "h"), "shared")
-    discard(table)
-    kinds = shared.where("not same").groupBy("h", "ch").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"))
-    kinds = stored(kinds, "kinds")
-    marks = shared.where("same").select("doc_id", "th", "start", "n")
-    marks = marks.unionByName(shared.where("not same").join(kinds.where("c > 1").select("h", "ch"), ["h", "ch"], "left_semi").select("doc_id", "th", "start", "n"))
-    crowds = kinds.groupBy("h").agg(F.count("*").alias("kinds")).select("h", (F.col("kinds") > crowd).alias("many"))
-    wanted = kinds.select("h", "ch", "one.*")
-    parts = stored(gathered(own, wanted, length), "parts")
-    parts = parts.join(crowds, "h")
-    few = parts.where("not many").drop("many").repartition("h")
-    marks = marks.unionByName(indexed(few, length)).unionByName(counted(parts.where("many"), length))
-    spans = marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
-    spans = stored(spans, "marks")
+    spent: list[DataFrame] = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        spent.append(stored(df, name))
+        return spent[-1]
+
+    place = ("doc_id", "th", "start", "n")
+    marks, k = [], min(K, length)
+    table = held(passage_table(own.withColumn("at", F.lit(0)), length, k), "passages")
+    while True:
+        carried = [c for c in table.columns if c == "passage"]
+        seen = table.groupBy("h").agg(F.count("*").alias("places"), F.min("ch").alias("lo"), F.max("ch").alias("hi"), F.max("loops").alias("loops")).where("places > 1 or loops")
+        shared = held(table.drop("loops").join(seen.select("h", F.expr("lo = hi and places > 1").alias("same")), "h"), "shared")
+        discard(table)
+        kinds = shared.where("not same").groupBy("h", "ch").agg(F.count("*").alias("c"), F.min(F.struct(*place, *carried)).alias("one"))
+        kinds = held(kinds.select("h", "ch", "c", "one.*"), "kinds")
+        marks.append(shared.where("same").select(*place))
+        marks.append(shared.where("not same").join(kinds.where("c > 1").select("h", "ch"), ["h", "ch"], "left_semi").select(*place))
+        parts = kinds if carried else held(gathered(own, kinds, length), "parts")
+        crowds = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd).select("h")
+        if k == length or not crowds.limit(1).count():
+            marks.append(indexed(parts, length))
+            break
+        crowds = held(crowds, "crowds")
+        marks.append(indexed(parts.join(crowds, "h", "left_anti"), length))
+        many = parts.join(crowds, "h", "left_semi").select("doc_id", "th", F.col("start").alias("at"), F.col("passage").alias("text"))
+        k = length - (length - k) // 4
+        table = held(passage_table(many, length, k, True), "passages")
+    places = marks[0]
+    for more in marks[1:]:
+        places = places.unionByName(more)
+    lists = places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
+    spans = stored(merged(lists, length), "marks")
+    for df in spent:
+        discard(df)
     joined = base.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{th}") == F.col("s.th")), "left")
-    merged = F.aggregate(
-        F.array_sort("s.marks"), F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda done, m: F.when((F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= m["start"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], m["start"] + m["n"] + (length - 1)).alias("stop")))))
-        .otherwise(F.concat(done, F.array(F.struct(m["start"].alias("start"), (m["start"] + m["n"] + (length - 1)).alias("stop"))))),
-    )
-    return joined.select("d.*", F.coalesce(merged, F.array().cast("array<struct<start:int,stop:int>>")).alias("spans")).drop(th)
+    return joined.select("d.*", F.coalesce("s.spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans")).drop(th)
 
 
 def without_spans(docs: DataFrame, output: tuple[str, ...], text: str = "text", keep: list[str] | None = None) -> DataFrame:

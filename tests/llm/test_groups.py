@@ -84,6 +84,20 @@ def test_repeats(spark, crowd):
     assert repeated_spans(df.limit(0), 40).count() == 0
 
 
+def test_a_hash_of_very_many_passages_is_cut_again(spark):
+    from datagauge.llm.repeats import passage_table, repeated_spans, without_spans
+
+    rng = random.Random(8)
+    said = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, twice = said(70), said(50)
+    rows = [(i, said(50) + common + said(50)) for i in range(2_600)] + [(5_000 + i, said(30) + twice + said(30)) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    table = passage_table(df.selectExpr("doc_id", "doc_id as th", "text", "0 as at"), 40, 32)
+    assert table.select("h", "ch").distinct().groupBy("h").count().agg({"count": "max"}).first()[0] > 2_000
+    got = without_spans(repeated_spans(df, 40), ("n_bytes", "n_removed", "n_spans", "kept_sha256")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute.repeats(rows, 40)
+
+
 def test_run_index_matches_every_place():
     from datagauge.llm.run_index import RunIndex
 
