@@ -90,7 +90,7 @@ def test_a_hash_of_very_many_passages_is_cut_again(spark):
     rng = random.Random(8)
     said = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     common, twice = said(70), said(50)
-    rows = [(i, said(50) + common + said(50)) for i in range(2_600)] + [(5_000 + i, said(30) + twice + said(30)) for i in range(2)]
+    rows = [(i, said(50) + common + said(50)) for i in range(3_400)] + [(5_000 + i, said(30) + twice + said(30)) for i in range(2)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     table = passage_table(df.selectExpr("doc_id", "doc_id as th", "text", "0 as at"), 40, 32)
     assert table.select("h", "ch").distinct().groupBy("h").count().agg({"count": "max"}).first()[0] > 2_000
@@ -145,27 +145,54 @@ def test_decontamination(spark):
     assert contaminated(df, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
-def test_windows_beyond_the_radius_are_verified(monkeypatch):
-    from datagauge.llm import decontamination
-
-    monkeypatch.setattr(decontamination, "RADIUS", 0)
-    words = [f"word{i}" for i in range(49)]
-    items = decontamination.Items([(0, " ".join(words))], 0.8)
-    text = " ".join([*words[:-5], *"a b c d e".split()]).encode()  # 40 of 45 shingles: exactly 0.8
-    got = list(items.matches(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
-    assert [(r[1], r[2]) for r in got] == [(0, 0.8)]
-
-
-def test_simhash_index_finds_all_within_the_radius():
+def test_the_index_finds_all_within_the_radius():
     from datagauge.llm.decontamination import RADIUS, Items
 
-    items = Items([(0, "one two three four five six seven eight")], 0.8)
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        flips = rng.choice(64, rng.integers(0, 40), replace=False)
-        bits = np.unpackbits(items.prints[0], bitorder="little")
-        bits[flips] ^= 1
-        assert items.within(0, np.packbits(bits, bitorder="little")[None])[0] == (len(flips) <= RADIUS)
+    words = [f"w{i}" for i in range(400)]
+    items = Items([(i, " ".join(rng.choice(words, 40))) for i in range(20)], 0.8)
+    (own,) = items.classes[5]
+    prints = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    prints[:1000] = own.prints[rng.integers(0, 20, 1000)]
+    for i in range(1000):
+        for bit in rng.choice(64, rng.integers(0, 30), replace=False):
+            prints[i] ^= np.uint64(1 << int(bit))
+    near = np.bitwise_count(prints[:, None] ^ own.prints) <= RADIUS
+    assert {*zip(*(x.tolist() for x in own.probe(prints)), strict=True)} == {*map(tuple, np.argwhere(near).tolist())} and near.sum() > 500
+
+
+def test_fingerprints_are_majorities_of_bits():
+    from datagauge.llm.decontamination import lanes, planes, window_prints
+
+    g = np.random.default_rng(2).integers(0, 1 << 63, 700, dtype=np.uint64)
+    bits = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int)
+    for width, stride in ((1, 1), (12, 2), (55, 8), (127, 1), (128, 4), (600, 16)):
+        lane = lanes(width)
+        got = window_prints(planes(g, lane), width, stride)
+        where = [lane * (b // lane) + lane - 1 - b % lane for b in range(64)]
+        for n, at in enumerate(range(0, 700 - width + 1, stride)):
+            most = bits[at : at + width].sum(0) > width // 2
+            assert all(bool(int(got[n]) >> where[b] & 1) == most[b] for b in range(64))
+        assert len(got) == len(range(0, 700 - width + 1, stride))
+    assert len(window_prints(planes(g[:3], 8), 5)) == 0
+
+
+def test_recall_of_the_fingerprints():
+    from datagauge.llm.decontamination import Items
+
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(5000)]
+    said = lambda n: " ".join(rng.choice(words, n))
+    items = [(i, said(n)) for i, n in enumerate(rng.integers(15, 60, 200))]
+    cuts = [text.split()[: len(text.split()) - int(rng.random() * 0.11 * (len(text.split()) - 4))] for _, text in items * 2]  # a similarity of 0.8 to 1
+    texts = [" ".join([said(rng.integers(0, 60)), *cut, said(rng.integers(0, 60))]) for cut in cuts]
+    raw = [t.encode() for t in texts]
+    index = Items(items, 0.8)
+    got = {(r, i, round(v, 9)) for r, i, v, *_ in index.matches(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))}
+    want = {(r, i, round(v, 9)) for r, t in enumerate(texts) for (_, i), v in brute.contaminated([(r, t)], [items[r % 200]]).items()}
+    assert got <= want and len(want) > 300 and len(got) >= 0.98 * len(want)
+    alone = {(r, i, round(v, 9)) for r, x in enumerate(raw) for _, i, v, *_ in index.matches(np.frombuffer(x, np.uint8), np.array([0, len(x)]))}
+    assert alone == got  # whatever stands beside a document
 
 
 def vectors():
