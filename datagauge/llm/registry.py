@@ -74,11 +74,10 @@ def op7_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     from datagauge.llm.frames import shared_dir
-    from datagauge.llm.shards import digests, materialise
+    from datagauge.llm.shards import materialise
 
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    manifest = materialise(table(spark, sf_dir, "documents"), path, tokenizer(spark, "byte_bpe_multi_50k.tiktoken"), PATTERN, 512, rows=8192)
-    return manifest.join(digests(manifest, path, 512, 8192).hint("merge"), "slot")
+    return materialise(table(spark, sf_dir, "documents"), path, tokenizer(spark, "byte_bpe_multi_50k.tiktoken"), PATTERN, 512, rows=8192)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,28 +193,39 @@ def test_slots_are_a_permutation():
     assert slots(np.arange(50), 50, "a").tolist() != slots(np.arange(50), 50, "b").tolist()
 
 
-def test_shards_hold_every_sequence(spark, tmp_path):
+@pytest.mark.parametrize("bound", [48_000_000, 40])
+def test_shards_hold_every_sequence(spark, tmp_path, monkeypatch, bound):
     import tiktoken
 
-    from datagauge.llm.shards import digests, materialise
+    from datagauge.llm import shards
 
+    monkeypatch.setattr(shards, "PACKED", bound)
+    monkeypatch.setattr(shards, "WRITERS", 3 if bound == 40 else 20_000)
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    said = [None, "", "one two three four five six seven", "é" * 50, "x " * 40, "x " * 40]
-    out = f"file://{tmp_path}/shards"
-    manifest = materialise(frame(spark, said, slot=[0] * 6), out, path, P.PATTERN, 8, rows=4)
-    got = manifest.join(digests(manifest, out, 8, 4), "slot").collect()
+    said = [None, "", "one two three four five six seven", "é" * 50, "x " * 40, "x " * 40, "word " * 3000, *texts()[30:60]]
+    rows = [*enumerate(said), (4, said[4]), (None, "no id"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "0 as slot", "'clash' as part", "1 as th")
+    made = {}
+    for parts in (1, 5):  # the slots don't depend on partitions
+        out = f"file://{tmp_path}/shards{parts}"
+        got = shards.materialise(df.repartition(parts, "text"), out, path, P.PATTERN, 8, rows=16).collect()
+        made[parts] = sorted((r.slot, -1 if r.doc_id is None else r.doc_id, r.seq_no, r.n_tokens, r.sha256) for r in got)
+        files = sorted((tmp_path / f"shards{parts}").iterdir())
+        assert {p.name.split(".")[-1] for p in files} == {"bin"}
+        whole = b"".join(p.read_bytes() for p in files)
+        assert all(hashlib.sha256(whole[16 * r.slot : 16 * r.slot + 16]).hexdigest() == r.sha256 and r.shard == r.slot // 16 for r in got) and len(whole) == 16 * len(got)
+    assert made[1] == made[5]
     want = []
-    for i, t in enumerate(said):
+    for i, t in rows:
         ids = library.encode_ordinary(t or "")
         for s in range(0, len(ids), 8):
             part = ids[s : s + 8]
-            want.append((i, s // 8, len(part), hashlib.sha256(np.array(part + [50_256] * (8 - len(part)), "<u2").tobytes()).hexdigest()))
-    assert sorted((r.doc_id, r.seq_no, r.n_tokens, r.sha256) for r in got) == sorted(want)
-    assert sorted(r.slot for r in got) == list(range(len(want)))
-    assert {p.name.split(".")[-1] for p in (tmp_path / "shards").iterdir()} == {"bin"}
-    assert materialise(frame(spark, said).limit(0), f"{out}-none", path, P.PATTERN, 8).count() == 0
+            want.append((-1 if i is None else i, s // 8, len(part), hashlib.sha256(np.array(part + [50_256] * (8 - len(part)), "<u2").tobytes()).hexdigest()))
+    assert sorted(r[1:] for r in made[1]) == sorted(want)
+    assert [r[0] for r in made[1]] == list(range(len(want)))
+    assert shards.materialise(df.limit(0), f"{out}-none", path, P.PATTERN, 8).count() == 0
 
 
 def test_kernels_survive_slices():
