@@ -2,7 +2,9 @@
 
 Distinct pieces of a batch are put in matrices by length. In each round every row
 merges its leftmost pair of least rank; pairs are looked up in a hash table held in
-arrays, and rows without a pair left are compacted away.
+arrays, and rows without a pair left are compacted away. A piece wider than the widest matrix is a row of its
+own, which is compacted in each round; there a round merges all places of the pair, from the left, up to one that makes
+a pair of lower rank, so that rounds are as few as the pairs that differ.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from datagauge.llm.frames import map_text
-from datagauge.llm.kernels import Interner, ragged
+from datagauge.llm.kernels import Interner, buffers, ragged
 
 NONE = np.int32(2**31 - 1)
-KEPT_CHUNKS = 300_000
-LONG_PIECE = 512
+KEPT_CHUNKS = 600_000
+WIDTHS = (2, 4, 6, 8, 12, 16, 32, 64, 128, 512)
 _loaded: dict[str, "Ranks"] = {}
-LOOSE_SPACE = re.compile(r" \s|\s |^ | $")
+_encoders: dict[tuple[str, str], "Encoder"] = {}
+MAYBE_WHITE = np.zeros(256, bool)
+MAYBE_WHITE[[*range(9, 14), *range(28, 33)]] = True
 TAIL = frozenset(".,:;!?)")
 SAFE_SPACE = re.compile(r"(?<!\s) (?!\s)")
 
@@ -109,27 +113,48 @@ class Ranks:
             ranks[left, at[left] - 1] = self.lookup(symbols[left, at[left] - 1], symbols[left, at[left]])
         return done, count
 
+    def merge_row(self, symbols: np.ndarray) -> np.ndarray:
+        """Tokens of one row: what merging its leftmost pair of least rank, again and again, leaves."""
+        ranks = np.append(self.lookup(symbols[:-1], symbols[1:]), NONE)
+        while len(symbols) > 1 and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            new = np.concatenate([[True], np.diff(at) > 1])
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 0]  # of places that overlap, every second
+            before = np.where(np.concatenate([[False], np.diff(at) == 2]), best, np.where(at > 0, symbols[at - 1], -1))
+            after = np.where(at + 2 < len(symbols), symbols[np.minimum(at + 2, len(symbols) - 1)], -1)
+            merged = np.full(len(at), best)
+            low = np.flatnonzero(np.minimum(self.lookup(before, merged), self.lookup(merged, after)) < best)
+            if len(low):
+                at = at[: low[0] + 1]
+            symbols[at] = best
+            stay = np.ones(len(symbols), bool)
+            stay[at + 1] = False
+            symbols, ranks = symbols[stay], ranks[stay]
+            at = at - np.arange(len(at))
+            at = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            at = at[at + 1 < len(symbols)]
+            ranks[at] = self.lookup(symbols[at], symbols[at + 1])
+            ranks[-1] = NONE
+        return symbols
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all pieces, one after another, and their number in each."""
-        from datagauge.llm.token_counts import merges
-
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         data = np.frombuffer(b"".join(pieces), np.uint8)
         counts = np.zeros(len(pieces), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         low = 0
-        for width in (2, 4, 6, 8, 12, 16, 32, 64, 128, LONG_PIECE):
+        for width in WIDTHS:
             own = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
             for part in np.array_split(own, max(1, len(own) * width // 2_000_000)) if len(own) else ():
                 tokens, n = self.merge_matrix(data, starts[part], lengths[part], width)
                 counts[part] = n
                 parts.append((part, tokens[tokens >= 0]))
-        for i in np.flatnonzero(lengths > LONG_PIECE):  # the square of a very long piece's length is too much for a matrix
-            symbols = [pieces[i][j : j + 1] for j in range(lengths[i])]
-            merges(symbols, self.ranks)
-            tokens = np.array([self.ranks[s] for s in symbols if s is not None], np.int32)
+        for i in np.flatnonzero(lengths > low):
+            tokens = self.merge_row(self.single[data[starts[i] : starts[i] + lengths[i]]])
             counts[i] = len(tokens)
             parts.append((np.array([i]), tokens))
         at = np.concatenate([[0], np.cumsum(counts)])
@@ -145,20 +170,35 @@ def load_ranks(path: str) -> Ranks:
     return _loaded[path]
 
 
-def chunks_of(text: str) -> list:
+def loose(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows may have a space at an end or beside other white space; all that do are among them."""
+    at = np.flatnonzero(data == 32)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    padded = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)])
+    before, after = padded[at + 2], padded[at + 4]
+    odd = MAYBE_WHITE[before] | MAYBE_WHITE[after] | edge[at] | edge[at + 1]
+    odd |= (after == 0xC2) | (after >= 0xE1) & (after <= 0xE3)  # these begin other white space
+    odd |= (padded[at + 1] == 0xC2) & ((before == 0x85) | (before == 0xA0)) | (padded[at] >= 0xE1) & (padded[at] <= 0xE3) & (before >= 0x80)
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, at[odd], "right") - 1] = True
+    return out
+
+
+def chunks_of(text: str, loosely: bool) -> list:
     """Parts of a text whose pieces don't depend on each other: cut before each lone space between other characters.
 
-    All but the first stand for a space and what follows; the first is wrapped in a tuple.
+    All but the first stand for a space and what follows; the first is wrapped in a tuple. Unless `loosely`, every space is a lone one.
     """
     if not text:
         return []
-    parts: list = SAFE_SPACE.split(text) if LOOSE_SPACE.search(text) else text.split(" ")
+    parts: list = SAFE_SPACE.split(text) if loosely else text.split(" ")
     parts[0] = (parts[0],)
     return parts
 
 
 class Encoder:
-    """Encodes texts of a batch; tokens of chunks seen before are kept, to a bound."""
+    """Encodes texts of a batch; tokens of chunks seen before are kept, to a bound, and between tasks of a worker (see encoder())."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -170,10 +210,10 @@ class Encoder:
         self.known, self.tokens = Interner(), np.zeros(0, np.int32)
         self.counts, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, texts) -> tuple[np.ndarray, np.ndarray]:
         out, ends = [], [0]
-        for text in texts:
-            out.extend(map(self.known.__getitem__, chunks_of(text or "")))
+        for text, loosely in zip(texts.to_pylist(), loose(*buffers(texts)).tolist(), strict=True):
+            out.extend(map(self.known.__getitem__, chunks_of(text or "", loosely)))
             ends.append(len(out))
         return np.array(out, np.int64), np.array(ends)
 
@@ -204,8 +244,8 @@ class Encoder:
             self.tokens = np.concatenate([self.tokens, ids[ragged(starts[codes], n[codes])]])
             self.counts = np.concatenate([self.counts, np.diff(ends)])
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts and where each text's begin (one value more than texts)."""
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts of an Arrow array, and where each text's begin (one value more than texts)."""
         codes, ends = self.codes(texts)
         self.learn()
         starts = np.cumsum(self.counts) - self.counts
@@ -213,7 +253,7 @@ class Encoder:
         at = np.concatenate([[0], np.cumsum(n)])[ends]
         out = self.tokens[ragged(starts[codes], n)]
         self.used = np.concatenate([self.used, np.zeros(len(self.known) - len(self.used), np.int32)])
-        np.add.at(self.used, codes, 1)
+        self.used += np.bincount(codes, minlength=len(self.used)).astype(np.int32)
         if len(self.known) > KEPT_CHUNKS:
             self.forget()
         return out, at
@@ -233,6 +273,13 @@ class Encoder:
         self.tokens, self.counts, self.used = tokens, n[stay], np.zeros(len(stay), np.int32)
 
 
+def encoder(path: str, pattern: str) -> Encoder:
+    """The worker's encoder."""
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = Encoder(path, pattern)
+    return _encoders[path, pattern]
+
+
 def decode(ranks: Ranks, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of identifiers, and where each row's begin."""
     n = ranks.lengths[ids]
@@ -260,12 +307,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 
         from datagauge.llm.kernels import sha256_rows
 
-        encoder = Encoder(ranks_path, pattern)
-        names = [str(i) for i in range(len(encoder.ranks.lengths))]
+        own = encoder(ranks_path, pattern)
+        names = [str(i) for i in range(len(own.ranks.lengths))]
 
         def work(batch):
-            ids, at = encoder(batch.column(text).to_pylist())
-            raw, raw_at = decode(encoder.ranks, ids, at) if {"decoded", "decoded_sha256"} & {*output} else (None, None)
+            ids, at = own(batch.column(text))
+            raw, raw_at = decode(own.ranks, ids, at) if {"decoded", "decoded_sha256"} & {*output} else (None, None)
             made = {
                 "n_tokens": lambda: pa.array(np.diff(at)),
                 "ids": lambda: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),

@@ -61,11 +61,11 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, text: str, length:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from datagauge.llm.byte_bpe import Encoder
+        from datagauge.llm.byte_bpe import encoder
 
-        encoder, part, before = Encoder(ranks_path, pattern), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(ranks_path, pattern), TaskContext.get().partitionId(), 0
         for b in slices(batches, "text"):
-            ids, at = encoder(b.column("text").to_pylist())
+            ids, at = encode(b.column("text"))
             some = np.flatnonzero(np.diff(at))
             n = np.diff(at)[some]
             made = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at[np.append(some, len(at) - 1)] * 2).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])

@@ -49,16 +49,46 @@ def test_encoding_is_the_library_s(spark):
         decode_ids(spark.createDataFrame([([99_999],)], "ids array<int>"), path).collect()
 
 
-def test_chunk_memory_is_bounded(monkeypatch):
+def library():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("widths", [(2, 4, 6, 8, 12, 16, 32, 64, 128, 512), (3,)])
+def test_chunk_memory_is_bounded(monkeypatch, widths):
     from datagauge.llm import byte_bpe
 
     monkeypatch.setattr(byte_bpe, "KEPT_CHUNKS", 10)
-    a = byte_bpe.Encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    for _ in range(3):
+    monkeypatch.setattr(byte_bpe, "WIDTHS", widths)
+    own, known = byte_bpe.Encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), library()
+    for _ in range(2):  # chunks are forgotten and learned again
         for t in texts():
-            ids, at = a([t, "one two one two three"])
-            assert ids[at[1] :].tolist() == a.__class__(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)(["one two one two three"])[0].tolist()
-        break
+            ids, at = own(pa.array([t, "one two one two three"], pa.string()))
+            assert ids[: at[1]].tolist() == known.encode_ordinary(t or "") and ids[at[1] :].tolist() == known.encode_ordinary("one two one two three")
+            assert len(own.known) <= 40
+
+
+def test_long_pieces_are_the_library_s():
+    from datagauge.llm import byte_bpe
+
+    ranks, known, rng = byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), library(), random.Random(3)
+    tokens = [t.tobytes() for t in np.split(ranks.bytes, ranks.starts[1:]) if len(t)]
+    for n in range(1, 300, 13):
+        for raw in (b"".join(rng.choice(tokens) for _ in range(n)), bytes(rng.choice(b"ab s-'") for _ in range(4 * n)), b"ab" * n, b"-" * n):
+            assert ranks.merge_row(ranks.single[np.frombuffer(raw, np.uint8)]).tolist() == known._encode_single_piece(raw)
+
+
+def test_loose_rows_hold_all_that_need_care():
+    from datagauge.llm.byte_bpe import loose
+    from datagauge.llm.kernels import buffers
+
+    said = [*texts(), *[f"a{chr(c)}{d}b" for c in range(0x3100) for d in (" ", "") if chr(c).isspace()], *[f"a {chr(c)}b" for c in range(0x3100) if chr(c).isspace()], "plain words", "é à"]
+    found = loose(*buffers(pa.array(said, pa.string())))
+    for t, f in zip(said, found.tolist(), strict=True):
+        assert f or not re.search(r" \s|\s |^ | $", t or "")
+    assert not found[-1] and not found[-2]
 
 
 def test_counts_are_the_library_s(spark):
