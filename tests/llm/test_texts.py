@@ -139,6 +139,81 @@ def test_classifiers_on_held_out_rows(spark, kind):
     assert len(none) == 904 and len({r.score for r in none}) == 1
 
 
+def test_a_toxic_pair_of_harmless_terms_is_learned():
+    from datagauge.llm import toxicity
+    from datagauge.llm.kernels import buffers
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+
+    def said(n):
+        rows = [[rng.choice(words) for _ in range(12)] + [w for w in ("insult", "group") if rng.random() < 0.5] for _ in range(n)]
+        y = np.array([("insult" in r) == ("group" in r) for r in rows], float)
+        return *toxicity.terms(*buffers(pa.array([" ".join(rng.sample(r, len(r))) for r in rows]))), y
+
+    ids, at, y = said(3000)
+    machine = toxicity.fitted(ids, at, y)
+    ids, at, y = said(500)
+    bare = toxicity.Machine(machine.bias, machine.weights, machine.factors * 0)
+    assert ((machine.score(ids, at) >= 0.5) == y).mean() > 0.95
+    assert ((bare.score(ids, at) >= 0.5) == y).mean() < 0.8
+
+
+def test_logits_are_sums_over_pairs():
+    from datagauge.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 3)))
+    sets = [rng.choice(50, n, replace=False) for n in (0, 1, 2, 7, 0, 30)]
+    got = machine.logits(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for value, own in zip(got, sets, strict=True):
+        pairs = sum(machine.factors[i] @ machine.factors[j] for n, i in enumerate(own) for j in own[:n])
+        assert value == pytest.approx(0.3 + machine.weights[own].sum() + pairs)
+
+
+def test_pairs_count_on_the_tables():
+    import os
+
+    from datagauge.llm import toxicity
+    from datagauge.llm.kernels import buffers
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    rows = pd.read_parquet(f"{d}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id])
+    ids, at = toxicity.terms(*buffers(pa.array(rows.text, pa.string())))
+    y = rows.toxic.to_numpy(float)
+    machine = toxicity.fitted(*toxicity.chosen(ids, at, np.flatnonzero(~held)), y[~held])
+    bare = toxicity.Machine(machine.bias, machine.weights, machine.factors * 0)
+    with_pairs, without = (m.score(*toxicity.chosen(ids, at, np.flatnonzero(held))) for m in (machine, bare))
+    assert ((with_pairs >= 0.5) == y[held]).mean() > 0.97 and ((with_pairs >= 0.5) != (without >= 0.5)).any()
+    assert np.abs(with_pairs - y[held]).mean() < np.abs(without - y[held]).mean()
+
+
+def test_quality_is_ridge_on_features_of_a_gaussian_kernel(spark):
+    from datagauge.llm import quality
+    from datagauge.llm.kernels import buffers
+
+    docs, labels, flags = labelled(spark, "quality")
+    model = quality.fit(docs, labels, dimensions=64)
+    texts_ = {r.doc_id: r.text for r in docs.collect() if r.doc_id in flags}
+    rows = [i for i in sorted(texts_) if zlib.crc32(str(i).encode()) % 5 > 1]
+    every = [i for i in sorted(texts_) if zlib.crc32(str(i).encode()) % 5 > 0]
+    seen = [*every, *([5] if zlib.crc32(b"5") % 5 else [])]  # a repeated row counts twice
+    x = quality.statistics(*buffers(pa.array([texts_[i] for i in seen])))
+    assert np.allclose(model.centre, x.mean(0)) and np.allclose(model.scale[x.std(0) > 1e-6], x.std(0)[x.std(0) > 1e-6])
+    own = [*rows, *([5] if zlib.crc32(b"5") % 5 > 1 else [])]
+    z = model.features(quality.statistics(*buffers(pa.array([texts_[i] for i in own]))))
+    y = np.array([flags[i] for i in own], float)
+    penalty = 1e-2 * len(z) / z.shape[1] * np.eye(z.shape[1])
+    penalty[0, 0] = 1e-9
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-6)
+    wide = quality.Model(np.zeros(3), np.ones(3), np.random.default_rng(1).normal(size=(3, 20_000)) / 2.0, np.random.default_rng(2).uniform(0, 2 * np.pi, 20_000), np.zeros(1), np.zeros(1), np.zeros(1))
+    a, b = np.array([[0.1, -0.4, 0.9]]), np.array([[0.5, 0.2, 0.3]])
+    assert (wide.features(a)[:, 1:] @ wide.features(b)[:, 1:].T).item() == pytest.approx(np.exp(-((a - b) ** 2).sum() / 8), abs=0.02)
+
+
 def test_isotonic_is_monotone():
     from datagauge.llm.quality import isotonic
 
