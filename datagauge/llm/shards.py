@@ -13,6 +13,7 @@ Sequences travel to their shard in compressed blocks, one for each shard that a
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -143,7 +144,7 @@ def packed(slot: np.ndarray, rows: int, doc, seq: np.ndarray, n: np.ndarray, ids
     order = np.argsort(slot, kind="stable")
     slot, seq, n, at = slot[order], seq[order], n[order], at[order]
     shard = slot // rows
-    cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+    cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else np.zeros(1, np.int64)
     ends = np.concatenate([[0], np.cumsum(n)])
     said = ids[ragged(at, n)]
     codec, data, raw = pa.Codec("zstd", 1), [], ends[cut[1:]] - ends[cut[:-1]]
@@ -153,12 +154,13 @@ def packed(slot: np.ndarray, rows: int, doc, seq: np.ndarray, n: np.ndarray, ids
     return pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), lists(pa.array(slot)), lists(doc.take(pa.array(order))), lists(pa.array(seq)), lists(pa.array(n)), pa.array(raw), pa.array(data, pa.binary())], names=["shard", "slots", "docs", "seqs", "sizes", "raw", "data"])
 
 
-def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, length: int = 512, pad: int = 50_256, rows: int = 16_384, key: str = "epoch-0", text: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, length: int = 512, pad: int = 50_256, rows: int = 16_384, key: str = "epoch-0", text: str = "text", rounds: int = 2) -> DataFrame:
     """Write shards under path; returns their manifest: (slot, shard, doc_id, seq_no, n_tokens, sha256), a row for each sequence, with the digest of its row as read back.
 
     Identifiers are little-endian uint16. Null and empty texts have no sequence. Repeated rows are sequences of their own, in
     any order among equals, which are the same bytes; null ids pass through. A text of any length is cut alike. Other columns are not read. A
     task holds one shard, writes it under a name of its attempt and then renames it, so a task that runs again leaves whole files.
+    Shards are made in `rounds` ranges, one after another, so that the disk holds the shuffled rows of one range at a time; each reads the stored tokens.
     """
     if not 0 <= pad < 1 << 16:
         raise ValueError("identifiers are uint16")
@@ -173,7 +175,7 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, lengt
     shards = -(-count // rows)
     each = max(1, -(-shards // WRITERS))
 
-    def deal(batches):
+    def deal(batches, low, high):
         import pyarrow as pa
 
         fs, folder = filesystem(numbers)
@@ -190,6 +192,8 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, lengt
             seq = ragged(np.zeros(len(pieces), np.int64), pieces)
             of = np.repeat(np.arange(len(row)), pieces)
             slot = slots(np.repeat(first, pieces) + seq, count, key)
+            now = np.flatnonzero((slot >= low * rows) & (slot < high * rows))
+            slot, seq, of = slot[now], seq[now], of[now]
             return packed(slot, rows, doc.take(pa.array(of)), seq, np.minimum(own[of] - seq * length, length), ids, at[of] + seq * length)
 
         for b in batches:
@@ -236,7 +240,7 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, lengt
                 back = memoryview(f.read())
             fs.move(own, f"{folder}/shard-{now:08d}.bin")
             stride = 2 * length
-            digests = [hashlib.sha256(back[i * stride : (i + 1) * stride]).hexdigest() for i in (slot - first).tolist()]
+            digests = [hashlib.sha256(back[i * stride : (i + 1) * stride]).digest() for i in (slot - first).tolist()]
             return pa.RecordBatch.from_arrays([lists[0], pa.array(np.full(len(slot), now)), lists[1], lists[2], lists[3], pa.array(digests)], names=["slot", "shard", "doc_id", "seq_no", "n_tokens", "sha256"])
 
         for b in batches:  # in order of shard
@@ -251,11 +255,18 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, lengt
         if blocks:
             yield finish()
 
-    cells = f"slot bigint, shard bigint, doc_id {kind}, seq_no bigint, n_tokens bigint, sha256 string"
+    cells = f"slot bigint, shard bigint, doc_id {kind}, seq_no bigint, n_tokens bigint, sha256 "
     if not count:
-        return spark.createDataFrame([], cells)
-    sent = tokens.select("part", "row", "doc_id", "ids").mapInArrow(deal, f"shard bigint, slots array<bigint>, docs array<{kind}>, seqs array<bigint>, sizes array<bigint>, raw bigint, data binary")
-    dealt = sent.repartitionById(-(-shards // each), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("shard")
-    manifest = stored(dealt.mapInArrow(write, cells), "manifest")
+        return spark.createDataFrame([], cells + "string")
+    manifest, block = None, f"shard bigint, slots array<bigint>, docs array<{kind}>, seqs array<bigint>, sizes array<bigint>, raw bigint, data binary"
+    edges = [shards * i // rounds for i in range(rounds + 1)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        if low < high:
+            sent = tokens.select("part", "row", "doc_id", "ids").mapInArrow(partial(deal, low=low, high=high), block)
+            dealt = sent.repartitionById(-(-(high - low) // each), F.expr(f"cast((shard - {low}) div {each} as int)")).sortWithinPartitions("shard")
+            made = stored(dealt.mapInArrow(write, cells + "binary"), "manifest")
+            manifest = made if manifest is None else manifest.unionByName(made)
+            del sent, dealt
+            release(spark)
     discard(tokens)
-    return manifest
+    return manifest.withColumn("sha256", F.lower(F.hex("sha256")))
