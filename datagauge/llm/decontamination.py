@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact verification.
 
 An item of w terms is held against windows of w terms of every document, by shingles of five terms.
-Items of about one size are a class. For each class windows of its size, at most a sixth of a window apart, get a
+Items of about one size are a class. For each class windows of its size, at most an eighth of a window apart, get a
 64-bit SimHash; the class's items stand in a multi-index of four blocks of sixteen bits, each under all
 values within RADIUS // BLOCKS bits of its own: by the pigeonhole principle every item within
 RADIUS bits of a window is found. Candidates, and nothing else, are verified by the exact weighted
@@ -27,7 +27,7 @@ from datagauge.llm.toxicity import TERM
 SHINGLE = 5
 BLOCKS, RADIUS = 4, 19
 #: A class has items of this share of its window at least. Windows are a power of two apart, this part of their size at most.
-CLASS, APART = 0.93, 6
+CLASS, APART = 0.93, 8
 #: Items are broadcast in blocks of at most so many items, whose index then has 40 kB an item, and bytes of text; each block is a pass over the documents.
 BLOCK_ITEMS, BLOCK_BYTES = 4_000, 16_000_000
 #: Texts are worked on so many bytes at a time.
