@@ -255,6 +255,61 @@ def test_copies_of_pages_keep_their_text(spark, monkeypatch):
         assert len(got) == len(pages) and all(r.text == r.want for r in got)
 
 
+def paired_by_hand(rows, reach):
+    """(page_id, text) from rows of (page_id, host, path, content, html): neighbours are looked up among all pages of the host."""
+    from datagauge.llm import html_text as h
+
+    out = {}
+    for host in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == host), key=lambda r: (r[2], r[3], r[0]))
+        runs = []
+        for r in own:
+            if runs and runs[-1][0][3] == r[3]:
+                runs[-1].append(r)
+            else:
+                runs.append([r])
+        lines = [h.lines_of(x[0][4] or "") for x in runs]
+        for at, run in enumerate(runs):
+            for page_id, _, path, _, _ in run:
+                near = []
+                for step, end in ((-1, -1), (1, 0)):
+                    for to in range(at + step, at + step * (reach + 1), step):
+                        if 0 <= to < len(runs) and lines[to] and not h.within(lines[at], lines[to]) and not h.within(lines[to], lines[at]):
+                            near.append((h.prefix(runs[to][end][2], path), -len(near), lines[to]))
+                            break
+                out[page_id] = h.main_text(lines[at], max(near)[2] if near and host and lines[at] else None)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_neighbours_do_not_depend_on_partitions(spark, parts):
+    from datagauge.llm import html_text
+
+    rng = random.Random(6)
+    said = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(rng.randint(3, 9)))
+    templates, pages = [[said() for _ in range(3)] for _ in range(3)], []
+    for i in range(160):
+        top, menu, low = templates[rng.randrange(3)] if rng.random() < 0.3 else templates[0]
+        body = "".join(f"<p>{said()}</p>" for _ in range(rng.randint(1, 4)))
+        pages.append((i, f"http://{rng.choice('ab')}.example/{rng.choice('xy')}/{rng.randint(0, 30)}?n={i}", f"<body><p>{top}<p>{menu}</p>{body}<p>{low}</body>"))
+        if i % 7 == 0:
+            pages += [(1000 * (k + 1) + i, pages[-1][1] if k % 2 else pages[-1][1].replace("?", f"/{k}?"), pages[-1][2]) for k in range(rng.randint(1, 12))]
+    pages += [(9000, None, "<p>no address"), (9001, "http://c.example/", None), (9002, "http://c.example/", "<p>alone")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "'clash' as host", "1 as target", "'own' as own", "0 as side")
+    keys = {r.own.page_id: (r.host, r.path, r.content) for r in html_text.keyed(df, "html", "url", ["page_id"]).collect()}
+    want = paired_by_hand([(i, *keys[i], h) for i, _, h in pages], html_text.REACH)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = html_text.extract(df.repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(pages)
+    assert all((r.host, r.target, r.own, r.side) == ("clash", 1, "own", 0) for r in got)
+
+
 def test_hints_of_wrappers_are_not_boilerplate():
     from datagauge.llm.html_text import lines_of
 
