@@ -16,7 +16,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from datagauge.llm.frames import map_text
+from datagauge.llm.frames import map_text, widened
 from datagauge.llm.kernels import Interner, buffers, ragged
 
 NONE = np.int32(2**31 - 1)
@@ -330,8 +330,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Append the bytes that a column of ids stands for; null ids give no bytes. Ids outside the vocabulary raise."""
     kept = [c for c in df.columns if c != out]
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{out}` binary"])
+    schema = widened([df.schema[c] for c in kept], [(out, "binary")])
 
     def run(batches):
         import pyarrow as pa

@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Spark's own switch: shuffle files are deleted at the end of a query.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -52,6 +53,11 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def widened(kept: list, fields: list[tuple[str, str]]) -> StructType:
+    """A schema of fields that are kept and new ones of (name, type)."""
+    return StructType([StructField(f.name, f.dataType) for f in kept] + [StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in fields])
+
+
 def map_text(df: DataFrame, column: str, fields: list[tuple[str, str]], make, keep: list[str] | None = None) -> DataFrame:
     """Append columns worked out from a text column, in Arrow batches of bounded bytes.
 
@@ -62,8 +68,7 @@ def map_text(df: DataFrame, column: str, fields: list[tuple[str, str]], make, ke
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     read = list(dict.fromkeys([*kept, column]))
     source = df.select(*[f"`{c}`" for c in read])
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{n}` {t}" for n, t in fields])
+    schema = widened([source.schema[c] for c in kept], fields)
 
     def run(batches):
         import pyarrow as pa

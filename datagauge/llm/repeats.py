@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datagauge.llm.frames import discard, stored
+from datagauge.llm.frames import discard, stored, widened
 from datagauge.llm.kernels import buffers, prefix_hash, ragged, sha256_rows, slices, span_hash
 
 K = 32
@@ -217,9 +217,9 @@ def without_spans(docs: DataFrame, output: tuple[str, ...], text: str = "text",
     """
     kinds = {"kept": "string", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
     read = list(dict.fromkeys([*(keep if keep is not None else docs.columns), text, "spans"]))
-    source = docs.select(*read)
+    source = docs.select(*[f"`{c}`" for c in read])
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in output]
-    schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept] + [f"{o} {kinds[o]}" for o in output])
+    schema = widened([source.schema[c] for c in kept], [(o, kinds[o]) for o in output])
 
     def run(batches):
         import pyarrow as pa

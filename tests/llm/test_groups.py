@@ -303,3 +303,23 @@ def test_decontamination_drops_rows_without_id(spark, sf_dir):
     docs = spark.createDataFrame([(None, leak), (None, "clean"), (1, leak), (1, "clean too"), (2, None)], "doc_id bigint, text string")
     got = pipeline.decontamination(spark, docs, sf_dir).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "clean"), (1, "clean too"), (2, "")]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    names = ("score", "predicted", "held_out", "kept", "spans", "row", "key", "own", "copies", "th", "component_id", "n_shingles", "marks", "similarity", "a b")
+    start = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None), (10**9, "", "x"), (10**9 + 1, None, "y"), (10**9 + 2, "word " * 30_000, None), (10**9 + 2, "word " * 30_000, None)], "doc_id bigint, text string, lang string")
+    docs = start.unionByName(odd, allowMissingColumns=True).selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        for r in docs.collect():
+            assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for n in names)
+            assert name in ("repeats", "decontamination") or r.text == texts[r.doc_id]
+    assert docs.count() > 50
+    assert pipeline.tokens(spark, docs, sf_dir).count() == docs.count() and pipeline.tokens(spark, docs.limit(0), sf_dir).count() == 0
