@@ -39,6 +39,15 @@ def check(df: DataFrame, columns: list[str] = (), rules: dict[str, Column] | Non
     return df
 
 
+#: Rows of a side that is sent to all tasks, at most.
+MOST_SENT = 200_000
+
+
+def small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df, marked to be sent to all tasks if it has few enough rows (which are counted first); else as it is, and Spark shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 

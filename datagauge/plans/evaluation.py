@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +36,6 @@ def folded(spark, sf_dir) -> DataFrame:
     return obs.join(folds, "run")
 
 
-def train_test(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Training rows by held-out fold, test rows without the target, and the targets; sums of five folds are made once for each row."""
-    rows = folded(spark, sf_dir)
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold")))
-    train = rows.select("task", "flow", "accuracy", others.alias("held"))
-    test = rows.select("run", "task", "flow", F.col("fold").alias("held"))
-    return train, test, rows
-
-
 @query(f"""
 WITH {FOLDED}, held AS (SELECT unnest(range(5)) AS held),
 train AS (SELECT held, task, flow, accuracy FROM obs, held WHERE fold <> held),
@@ -55,10 +44,9 @@ SELECT o.fold AS held, count(*) AS n, count(*) FILTER (m IS NULL) AS fallbacks,
 FROM obs o JOIN whole w ON w.held = o.fold LEFT JOIN means x ON x.held = o.fold AND x.task = o.task AND x.flow = o.flow GROUP BY o.fold""")
 def frequency_baseline(spark, sf_dir):
     """Mean by (task, flow) with the mean of all as fallback, on folds of whole runs."""
-    train, _, rows = train_test(spark, sf_dir)
-    test = rows.select("task", "flow", F.col("fold").alias("held"), F.col("accuracy").alias("target"))
-    scored = baselines.grouped_mean(train, test, "accuracy", ["task", "flow"], ["held"])
-    return rounded(scored.groupBy("held").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "FALLBACK").alias("fallbacks"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae")))
+    rows = folded(spark, sf_dir).select("task", "flow", "fold", "accuracy")
+    scored = baselines.held_out_means(baselines.held_out_means(rows, ["task", "flow"], "fold", "accuracy", "m"), [], "fold", "accuracy", "g")
+    return rounded(scored.groupBy(F.col("fold").alias("held")).agg(F.count("*").alias("n"), F.count_if(F.col("m").isNull()).alias("fallbacks"), F.avg(F.abs(F.coalesce("m", "g") - F.col("accuracy"))).alias("mae")))
 
 
 @query(f"""
@@ -73,10 +61,17 @@ UNION ALL SELECT 'TF_ADD', y, coalesce(tm, g) + coalesce(rm, 0), CASE WHEN tm IS
 SELECT name, status, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(count(*) / sum(count(*)) OVER (PARTITION BY name), 6) AS share FROM p GROUP BY name, status""")
 def baseline_status(spark, sf_dir):
     """Status shares and errors of four mean baselines over all folds."""
-    train, _, rows = train_test(spark, sf_dir)
-    test = rows.select("task", "flow", F.col("fold").alias("held"), F.col("accuracy").alias("target"))
-    parts = [baselines.baseline(n, train, test, "accuracy", "task", "flow", ["held"]).select(F.lit(n).alias("name"), "status", "prediction", "target") for n in ("GM", "TD_MEAN", "FLOW_MEAN", "TF_ADD")]
-    return rounded(baselines.status_report(reduce(DataFrame.unionByName, parts), "target", "prediction", ["name"]))
+    rows = folded(spark, sf_dir).select("task", "flow", "fold", "accuracy")
+    for keys, name in (([], "g"), (["task"], "t"), (["flow"], "f")):
+        rows = baselines.held_out_means(rows, keys, "fold", "accuracy", name)
+    rows = baselines.held_out_residuals(rows, "task", "flow", "fold", "accuracy", "r")
+    t, f, r, g = (F.col(c) for c in "tfrg")
+    native = lambda c: F.when(c.isNull(), baselines.FALLBACK).otherwise(baselines.NATIVE)
+    both = F.when(t.isNull() & r.isNull(), baselines.FALLBACK).when(t.isNull() | r.isNull(), baselines.MIXED).otherwise(baselines.NATIVE)
+    four = {"GM": (g, F.lit(baselines.NATIVE)), "TD_MEAN": (F.coalesce(t, g), native(t)), "FLOW_MEAN": (F.coalesce(f, g), native(f)), "TF_ADD": (F.coalesce(t, g) + F.coalesce(r, F.lit(0.0)), both)}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), p.alias("prediction"), status.alias("status")) for n, (p, status) in four.items()]))
+    scored = rows.select(F.col("accuracy").alias("target"), each.alias("e")).select("target", "e.*")
+    return rounded(baselines.status_report(scored, "target", "prediction", ["name"]))
 
 
 @query(f"""

@@ -43,8 +43,8 @@ tir AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DE
 
 def bm25_scores(spark, sf_dir) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    weights = retrieval.bm25_weights(docs, "doc_id", "text")
-    return retrieval.sparse_scores(retrieval.query_terms(items, "item_id", "text"), weights, "item_id", "doc_id")
+    asked = retrieval.query_terms(items, "item_id", "text")
+    return retrieval.sparse_scores(asked, retrieval.bm25_weights(docs, "doc_id", "text", asked=asked), "item_id", "doc_id")
 
 
 def tfidf_scores(spark, sf_dir) -> DataFrame:
@@ -120,8 +120,8 @@ def effectiveness(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     intents = retrieval.predicates(docs, "doc_id", ["lang", "source"], 5)
     qrels = retrieval.judgements(docs, "doc_id", ["lang", "source"], intents)
-    every = docs.select("doc_id", F.col("n_chars").alias("score")).crossJoin(F.broadcast(intents.select("intent")))  # a short list of intents
-    return rounded(retrieval.effectiveness(retrieval.rank(every, ["intent"], "doc_id"), qrels, "intent", "doc_id"))
+    ranked = retrieval.global_rank(docs.select("doc_id", F.col("n_chars").alias("score")), "doc_id", "score")  # one ranking for all intents
+    return rounded(retrieval.effectiveness(ranked.join(qrels, "doc_id"), qrels, "intent", "doc_id"))
 
 
 @query("""

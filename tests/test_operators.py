@@ -291,6 +291,10 @@ def test_estimators(spark):
 def test_workload(spark):
     assert workload.root_quotas([10, 0, 5], 9, 2) and sum(workload.root_quotas([10, 0, 5], 9, 2)) == 9
     assert workload.even_quotas([10, 1, 10], 9) == [4, 1, 4]
+    assert workload.root_quotas([100, 100, 100], 10, 0) == [4, 3, 3] and workload.root_quotas([16, 4, 0], 8, 1) == [5, 3, 0]
+    assert workload.root_quotas([1, 1, 50], 40, 0) == [1, 1, 38] and workload.root_quotas([3, 3], 6, 9) == [3, 3]
+    assert workload.root_quotas([9, 4, 1], 0, 0) == [0, 0, 0] and workload.root_quotas([9, 4, 1], 14, 2) == [9, 4, 1]
+    assert workload.even_quotas([2, 9, 9], 11) == [2, 5, 4] and workload.even_quotas([0, 3, 8], 9) == [0, 3, 6]
     with pytest.raises(contracts.ContractError):
         workload.root_quotas([1], 2, 1)
     with pytest.raises(contracts.ContractError):
