@@ -84,26 +84,50 @@ def exact_values(utilities: DataFrame, players: int) -> DataFrame:
     )
 
 
-def permutation_design(spark: SparkSession, namespace: str, seed: int, players: int, count: int) -> DataFrame:
-    """(permutation, k, player): orders drawn from a stream seeded by namespace and seed, k from 1."""
+def stream(namespace: str, seed: int):
+    """A random stream that namespace and seed name."""
     import numpy as np
 
     digest = hashlib.sha256(f"{namespace}|{seed}".encode()).digest()
-    rng = np.random.Generator(np.random.PCG64DXSM(int.from_bytes(digest[:16], "big")))
-    rows = [(i, rng.permutation(players).tolist()) for i in range(count)]
+    return np.random.Generator(np.random.PCG64DXSM(int.from_bytes(digest[:16], "big")))
+
+
+def permutations(namespace: str, seed: int, players: int, count: int) -> list[list[int]]:
+    rng = stream(namespace, seed)
+    return [rng.permutation(players).tolist() for _ in range(count)]
+
+
+def bernoulli_rows(namespace: str, seed: int, players: int, count: int, rate: float = 0.5) -> list[list[int]]:
+    rng = stream(namespace, seed)
+    return [rng.binomial(1, rate, players).tolist() for _ in range(count)]
+
+
+def permutation_design(spark: SparkSession, namespace: str, seed: int, players: int, count: int) -> DataFrame:
+    """(permutation, k, player): orders drawn from a stream seeded by namespace and seed, k from 1."""
+    rows = list(enumerate(permutations(namespace, seed, players, count)))
     return spark.createDataFrame(rows, "permutation int, players array<int>").select("permutation", F.posexplode("players").alias("k", "player")).withColumn("k", F.col("k") + 1)
 
 
 def bernoulli_design(spark: SparkSession, namespace: str, seed: int, players: int, count: int, rate: float = 0.5) -> DataFrame:
     """(row, player, inside) for each row of a random design."""
-    import numpy as np
-
-    digest = hashlib.sha256(f"{namespace}|{seed}".encode()).digest()
-    rng = np.random.Generator(np.random.PCG64DXSM(int.from_bytes(digest[:16], "big")))
-    rows = [(i, rng.binomial(1, rate, players).tolist()) for i in range(count)]
+    rows = list(enumerate(bernoulli_rows(namespace, seed, players, count, rate)))
     return spark.createDataFrame(rows, "row int, d array<int>").select("row", F.posexplode("d").alias("player", "inside"))
 
 
+def standalone_and_last(players: int) -> list[tuple[str, list[int]]]:
+    """Names and members of the coalitions that standalone and leave-one-out values need: each player alone, all, and all but each."""
+    every = list(range(players))
+    return [(f"only{i}", [i]) for i in every] + [("all", every)] + [(f"without{i}", [j for j in every if j != i]) for i in every]
+
+
+def isolated_values(utilities: DataFrame, players: int) -> DataFrame:
+    """(player, standalone, loo, utilities) from the utilities (coalition, utility) of standalone_and_last, for any number of players; utilities counts the coalitions asked for."""
+    whole = utilities.where("coalition = 'all'").select(F.col("utility").alias("_all"))
+    own = utilities.where("coalition <> 'all'").withColumn("player", F.regexp_extract("coalition", r"(\d+)$", 1).cast("int"))
+    each = own.groupBy("player").agg(F.max(F.when(F.col("coalition").startswith("only"), F.col("utility"))).alias("standalone"), F.max(F.when(F.col("coalition").startswith("without"), F.col("utility"))).alias("_rest"))
+    return each.crossJoin(F.broadcast(whole)).select("player", "standalone", (F.col("_all") - F.col("_rest")).alias("loo"), F.lit(2 * players + 1).alias("utilities"))
+
+
 def prefix_coalitions(design: DataFrame) -> DataFrame:
     """(permutation, k, player, coalition): the coalition of the first k players, named by its sorted members."""
     over = Window.partitionBy("permutation").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)

@@ -88,13 +88,13 @@ def dense_topk(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), q AS (SELECT vec_id % 4 AS item, vec_id AS position, v FROM e WHERE vec_id < 12),
+WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), q AS (SELECT vec_id // 20 % 4 AS item, vec_id AS position, v FROM e WHERE vec_id % 20 = 0),
 m AS (SELECT item, label, position, max(list_dot_product(q.v, e.v)) AS m FROM q, e GROUP BY ALL)
 SELECT item, label, round(sum(m), 6) AS score FROM m GROUP BY ALL""")
 def late_interaction(spark, sf_dir):
-    """Sums of best token products: labels' vectors are documents, twelve vectors make four queries."""
+    """Sums of best token products: labels' vectors are documents, the stated query set's vectors make four queries."""
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id < 12").select((F.col("vec_id") % 4).alias("item"), F.col("vec_id").alias("position"), F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 20 = 0").select((F.floor(F.col("vec_id") / 20) % 4).alias("item"), F.col("vec_id").alias("position"), F.col("embedding").alias("vector"))
     return rounded(retrieval.maxsim(asked, e.select("label", F.col("embedding").alias("vector")), "item", "label"))
 
 
@@ -171,14 +171,14 @@ def pools(spark, sf_dir) -> DataFrame:
     return e.select("label", "vec_id", (F.col("vec_id") % 97 / 97).alias("quality"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-def greedy_sql(init: str, value: str) -> str:
-    """Five greedy steps over each label's first 200 vectors, by recursion over the chosen list."""
+def greedy_sql(init: str, value: str, steps: int = 5) -> str:
+    """Greedy steps over each label's first 200 vectors, by recursion over the chosen list."""
     return f"""
 WITH RECURSIVE p AS (SELECT label, vec_id, (vec_id % 97) / 97.0::DOUBLE AS q, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 200),
 s AS MATERIALIZED (SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(greatest(0, least(1, (1 + list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) / 2)), 12) AS k FROM p a JOIN p b USING (label)),
 c(label, n, chosen) AS (SELECT label, 1, [arg_min(vec_id, (-round({init}, 12), vec_id))] FROM p x GROUP BY label
-UNION ALL SELECT label, n + 1, list_append(any_value(chosen), arg_min(vec_id, (-round(g, 12), vec_id))) FROM (SELECT c.label, c.n, c.chosen, x.vec_id, {value} AS g FROM c JOIN p x USING (label) WHERE c.n < 5 AND NOT list_contains(c.chosen, x.vec_id)) GROUP BY label, n)
-SELECT label, unnest(chosen) AS vec_id, CAST(unnest(range(1, 6)) AS INT) AS position FROM c WHERE n = 5"""
+UNION ALL SELECT label, n + 1, list_append(any_value(chosen), arg_min(vec_id, (-round(g, 12), vec_id))) FROM (SELECT c.label, c.n, c.chosen, x.vec_id, {value} AS g FROM c JOIN p x USING (label) WHERE c.n < {steps} AND NOT list_contains(c.chosen, x.vec_id)) GROUP BY label, n)
+SELECT label, unnest(chosen) AS vec_id, CAST(unnest(range(1, {steps} + 1)) AS INT) AS position FROM c WHERE n = {steps}"""
 
 
 @query(greedy_sql("0.5 * x.q", "0.5 * x.q - 0.5 * (SELECT max(k) FROM s WHERE s.label = c.label AND s.i = x.vec_id AND list_contains(c.chosen, s.j))"))
@@ -199,7 +199,7 @@ def farthest_first(spark, sf_dir):
     return diversify.ordered(pools(spark, sf_dir), "label", "vec_id", "farthest_first_id", 5)
 
 
-@query()
+@query(greedy_sql("x.q", "(SELECT min(1 - k) FROM s WHERE s.label = c.label AND s.i = x.vec_id AND list_contains(c.chosen, s.j))", 20))
 def farthest_from_best(spark, sf_dir):
     """Farthest-first from the best quality."""
     return diversify.ordered(pools(spark, sf_dir), "label", "vec_id", "farthest", 20)
@@ -240,18 +240,28 @@ def graph_and_sources(spark, sf_dir):
     return nodes, edges, sources
 
 
-@query()
+#: After so many steps a change is below 1e-12 of what it was.
+STEPS = 170
+PAGERANK = f"""
+WITH RECURSIVE {GRAPH}, l AS (SELECT i AS src, b AS dst FROM e UNION SELECT b, i FROM e),
+d AS MATERIALIZED (SELECT src, dst, 0.85::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM l UNION ALL SELECT DISTINCT src, NULL, 0.15::DOUBLE FROM l),
+r(n, source, node, score) AS (SELECT 0, s, s, 1.0::DOUBLE FROM (SELECT unnest(['Item::1', 'Item::7', 'size::3']) AS s)
+UNION ALL SELECT n + 1, source, coalesce(dst, source) AS spot, sum(score * share) FROM r JOIN d ON d.src = r.node WHERE n < {STEPS} GROUP BY n, source, spot)
+SELECT source, node, round(score, 6) AS score FROM r WHERE n = {STEPS}"""
+
+
+@query(PAGERANK)
 def pagerank(spark, sf_dir):
     """Personalised PageRank by joins."""
     nodes, edges, sources = graph_and_sources(spark, sf_dir)
-    return rounded(graph.pagerank(nodes, edges, sources, tolerance=1e-4))
+    return rounded(graph.pagerank(nodes, edges, sources))
 
 
-@query()
+@query(PAGERANK)
 def pagerank_batches(spark, sf_dir):
     """Personalised PageRank of batches of sources on a graph held by workers."""
     nodes, edges, sources = graph_and_sources(spark, sf_dir)
-    return rounded(graph.pagerank_batches(nodes, edges, sources, tolerance=1e-9))
+    return rounded(graph.pagerank_batches(nodes, edges, sources))
 
 
 @query()
@@ -262,16 +272,21 @@ def typed_walks(spark, sf_dir):
 
 
 GAME = """
-s AS (SELECT l_suppkey AS player, avg(l_discount) * 10 AS score FROM lineitem WHERE l_suppkey < 8 GROUP BY 1),
+s AS (SELECT l_suppkey % 8 AS player, avg(l_discount) * 10 AS score FROM lineitem GROUP BY 1),
 m AS (SELECT unnest(range(256)) AS mask), u AS (SELECT mask, coalesce(avg(score), 0) AS utility FROM m LEFT JOIN s ON (mask >> player) & 1 = 1 GROUP BY mask),
 g AS (SELECT player, bit_count(a.mask) AS k, b.utility - a.utility AS gain FROM (SELECT unnest(range(8)) AS player), u a JOIN u b ON b.mask = a.mask | (1 << player) WHERE (a.mask >> player) & 1 = 0),
 w AS (SELECT k, factorial(k::INT) * factorial(7 - k::INT) / factorial(8)::DOUBLE AS sh, exp(lgamma(k + 1) + lgamma(11 - k) - lgamma(12)) AS be FROM (SELECT unnest(range(8)) AS k)),
 z AS (SELECT sum(be * factorial(7) / (factorial(k::INT) * factorial(7 - k::INT))) AS total FROM w)"""
 
 
+def fold_scores(spark, sf_dir) -> DataFrame:
+    """(player, score) of eight players that share out all suppliers by id, so that every line item counts."""
+    player = F.pmod("task", F.lit(8)).cast("int").alias("player")
+    return observations(spark, sf_dir).groupBy(player).agg(F.avg("accuracy").alias("score"))
+
+
 def game(spark, sf_dir) -> DataFrame:
-    scores = observations(spark, sf_dir).where("task < 8").groupBy(F.col("task").cast("int").alias("player")).agg(F.avg("accuracy").alias("score"))
-    return games.exact_values(games.mean_utility(games.coalitions(spark, 8), scores, 8), 8)
+    return games.exact_values(games.mean_utility(games.coalitions(spark, 8), fold_scores(spark, sf_dir), 8), 8)
 
 
 @query(f"""WITH {GAME} SELECT CAST(player AS INT) AS player, round(max(CASE WHEN k = 0 THEN gain END), 6) AS standalone, round(max(CASE WHEN k = 7 THEN gain END), 6) AS loo, round(sum(gain * sh), 6) AS shapley, round(avg(gain), 6) AS banzhaf, round(sum(gain * be / total), 6) AS beta41
@@ -282,7 +297,7 @@ def exact_values(spark, sf_dir):
 
 
 CROSSFIT = """
-o AS (SELECT l_suppkey AS player, l_partkey % 50 AS flow, l_discount * 10 AS y, l_suppkey % 5 AS fold FROM lineitem WHERE l_suppkey < 10),
+o AS (SELECT l_suppkey % 10 AS player, l_partkey % 50 AS flow, l_discount * 10 AS y, l_suppkey % 5 AS fold FROM lineitem),
 st AS (SELECT player, flow, fold, count(*) AS n, sum(y) AS total FROM o GROUP BY ALL),
 c AS (SELECT 'c' || i AS coalition, p AS player FROM (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(10)) AS p) WHERE p % (i + 1) = 0),
 h AS (SELECT unnest(range(5)) AS held), ev AS (SELECT coalition, held, flow, n, total FROM c JOIN st USING (player), h WHERE fold <> held),
@@ -292,29 +307,51 @@ pu AS (SELECT k.coalition, st.player, coalesce(1 - sum(n * abs(total / n - coale
 
 @query(f"WITH {CROSSFIT} SELECT coalition, round(avg(u), 6) AS utility FROM pu GROUP BY 1")
 def crossfit_utility(spark, sf_dir):
-    """How well coalitions of players predict all players' flows across folds."""
-    o = observations(spark, sf_dir).where("task < 10").select(F.col("task").alias("player"), (F.col("flow") % 50).alias("flow"), "accuracy")
+    """How well coalitions of ten players, who share out all suppliers, predict all players' flows across folds."""
+    o = observations(spark, sf_dir).select(F.pmod("task", F.lit(10)).alias("player"), (F.col("flow") % 50).alias("flow"), "accuracy")
     stats = o.groupBy("player", "flow").agg(F.count("*").alias("n"), F.sum("accuracy").alias("total"))
     registry = o.select("player", (F.col("player") % 5).alias("fold")).distinct()
     rows = [(f"c{i}", p) for i in range(1, 6) for p in range(10) if p % (i + 1) == 0]
     return rounded(games.crossfit_utility(spark.createDataFrame(rows, "coalition string, player bigint"), stats, registry))
 
 
-def fold_scores(spark, sf_dir) -> DataFrame:
-    """(player, score) of eight players that share out all suppliers by id, so that every line item counts."""
-    player = F.pmod("task", F.lit(8)).cast("int").alias("player")
-    return observations(spark, sf_dir).groupBy(player).agg(F.avg("accuracy").alias("score"))
-
-
-@query()
+@query(f"""WITH {GAME}, v AS (SELECT player, round(sum(gain * sh), 9) AS a, round(avg(gain), 9) AS b FROM g JOIN w USING (k) GROUP BY player),
+r AS (SELECT *, row_number() OVER (ORDER BY a DESC, player) AS ra, row_number() OVER (ORDER BY b DESC, player) AS rb, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ma, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS mb FROM v)
+SELECT round(corr(ma, mb), 6) AS spearman, round(avg(abs(ra - rb)), 6) AS mean_rank_change, CAST(max(abs(ra - rb)) AS INT) AS max_rank_change, count(*) FILTER (ra = rb) AS same_rank, round(avg(CAST(sign(a) = sign(b) AS DOUBLE)), 6) AS sign_agreement,
+{", ".join(f"round(count(*) FILTER (ra <= {k} AND rb <= {k}) / {k}.0, 6) AS top{k}, round(count(*) FILTER (ra > 8 - {k} AND rb > 8 - {k}) / {k}.0, 6) AS bottom{k}" for k in (3, 5))}, (SELECT count(*) FROM r x JOIN r y ON x.ra < y.ra AND x.rb > y.rb) AS reversed_pairs FROM r""")
 def value_agreement(spark, sf_dir):
     """Agreement of Shapley and Banzhaf values of eight players out of all suppliers."""
-    values = games.exact_values(games.mean_utility(games.coalitions(spark, 8), fold_scores(spark, sf_dir), 8), 8)
-    values = values.withColumn("a", F.round("shapley", 9)).withColumn("b", F.round("banzhaf", 9))
+    values = game(spark, sf_dir).withColumn("a", F.round("shapley", 9)).withColumn("b", F.round("banzhaf", 9))
     return rounded(games.value_agreement(values, "a", "b", "player"))
 
 
-@query()
+@query(f"""WITH {GAME}, v AS (SELECT player, sum(gain * sh) AS a, avg(gain) AS b FROM g JOIN w USING (k) GROUP BY player)
+SELECT round(avg(abs(a - b)), 6) AS mae, round(median(abs(a - b)), 6) AS median, round(sqrt(avg((a - b) ** 2)), 6) AS rmse, round(max(abs(a - b)), 6) AS largest FROM v""")
+def value_errors(spark, sf_dir):
+    """Errors of Banzhaf values held against Shapley values."""
+    return rounded(games.value_errors(game(spark, sf_dir), "shapley", "banzhaf"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey % 85 AS player, sum(l_discount) * 10 AS t, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT sum(t / n) AS t, count(*) AS n FROM s)
+SELECT CAST(player AS INT) AS player, round(s.t / s.n, 6) AS standalone, round(a.t / a.n - (a.t - s.t / s.n) / (a.n - 1), 6) AS loo, 171 AS utilities FROM s, a""")
+def isolated_values(spark, sf_dir):
+    """Standalone and leave-one-out values of 85 players who share out all orders, from 171 utilities."""
+    scores = observations(spark, sf_dir).groupBy(F.pmod("run", F.lit(85)).cast("int").alias("player")).agg(F.avg("accuracy").alias("score"))
+    asked = spark.createDataFrame([(name, own) for name, own in games.standalone_and_last(85)], "coalition string, own array<int>").select("coalition", F.explode("own").alias("player"))
+    utilities = asked.join(scores, "player").groupBy("coalition").agg(F.avg("score").alias("utility"))
+    return rounded(games.isolated_values(utilities, 85))
+
+
+def listed(rows: list[list[int]]) -> str:
+    """Numbered lists as a table of SQL."""
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {row})" for i, row in enumerate(rows)) + ") t(i, own)"
+
+
+@query(f"""WITH {GAME}, d AS MATERIALIZED ({listed(games.permutations(NAMESPACE, 1, 8, 100))}), e AS (SELECT i, CAST(unnest(range(1, 9)) AS BIGINT) AS k, own FROM d),
+c AS (SELECT i, e.k, own[e.k] AS player, avg(score) AS u FROM e JOIN s ON list_contains(own[1:e.k], s.player) GROUP BY ALL), x AS (SELECT i, k, player, u - lag(u, 1, 0.0) OVER (PARTITION BY i ORDER BY k) AS gain FROM c)
+SELECT budget, CAST(player AS INT) AS player, round(sum(gain) / budget, 6) AS shapley, round(sum(8 * be * factorial(7) / (factorial(w.k::INT) * factorial(7 - w.k::INT)) / total * gain) / budget, 6) AS beta41
+FROM x JOIN (SELECT unnest([50, 100]) AS budget) ON i < budget JOIN w ON w.k = x.k - 1, z GROUP BY budget, player""")
 def permutation_values(spark, sf_dir):
     """Sampled Shapley and Beta values of the eight-player game."""
     scores = fold_scores(spark, sf_dir)
@@ -324,7 +361,10 @@ def permutation_values(spark, sf_dir):
     return rounded(games.permutation_values(design, utilities, 8, [50, 100]))
 
 
-@query()
+@query(f"""WITH {GAME}, d AS MATERIALIZED ({listed(games.bernoulli_rows(NAMESPACE, 1, 8, 200))}), e AS (SELECT i, unnest(range(8)) AS player, unnest(own) AS inside FROM d),
+u2 AS (SELECT i, coalesce(avg(score) FILTER (inside = 1), 0) AS u FROM e JOIN s USING (player) GROUP BY i)
+SELECT budget, CAST(player AS INT) AS player, round(avg(u) FILTER (inside = 1) - avg(u) FILTER (inside = 0), 6) AS banzhaf, CASE WHEN count(DISTINCT inside) = 2 THEN 'COMPLETE' ELSE 'INSUFFICIENT' END AS status
+FROM e JOIN u2 USING (i) JOIN (SELECT unnest([100, 200]) AS budget) ON i < budget GROUP BY budget, player""")
 def reuse_values(spark, sf_dir):
     """Banzhaf values by reuse of random rows."""
     scores = fold_scores(spark, sf_dir)

@@ -9,7 +9,7 @@ from datagauge.functions import identity
 from datagauge.operators import cohort as cohorts
 from datagauge.operators import games, splits
 from datagauge.plans.adapters import NAMESPACE, observations, rounded, table
-from datagauge.plans.ranking import GAME
+from datagauge.plans.ranking import GAME, fold_scores
 
 QUERIES, ORACLES = {}, {}
 
@@ -49,7 +49,7 @@ c AS (SELECT 'addition' AS direction, k, player FROM r, range(1, 9) t(k) WHERE r
 SELECT direction, CAST(k AS INT) AS k, round(avg(score), 6) AS utility FROM c JOIN s USING (player) GROUP BY ALL""")
 def consequence(spark, sf_dir):
     """Utilities of coalitions that follow the Shapley order."""
-    scores = observations(spark, sf_dir).where("task < 8").groupBy(F.col("task").cast("int").alias("player")).agg(F.avg("accuracy").alias("score"))
+    scores = fold_scores(spark, sf_dir)
     values = games.exact_values(games.mean_utility(games.coalitions(spark, 8), scores, 8), 8)
     ranked = values.select("player", F.row_number().over(Window.orderBy(F.desc(F.round("shapley", 9)), "player")).alias("rank"))
     return rounded(cohorts.consequence_coalitions(ranked).join(scores, "player").groupBy("direction", "k").agg(F.avg("score").alias("utility")))

@@ -41,7 +41,7 @@ def test_same_rows(name, spark, sf_dir, duck):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"pagerank"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_gives_rows(name, spark, sf_dir):
     df = catalog.QUERIES[name](spark, sf_dir)
     assert df.count() > 0 and df.schema == catalog.QUERIES[name](spark, sf_dir).schema
