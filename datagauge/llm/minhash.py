@@ -107,11 +107,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     least = some.groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "bands")).alias("one"))
     classes = stored(least.select("n_shingles", "s1", "s2", F.col("one.doc_id").alias("class"), "one.bands"), "classes")
     rows, classes_only = rows.drop("bands"), classes.drop("bands")
-    keyed = classes.select(F.explode("bands").alias("band"), F.col("class").alias("id")).repartition("band")
-    leads = keyed.groupBy("band").agg(F.min("id").alias("cell"), F.count("*").alias("members")).where("members > 1")
+    keyed = classes.select(F.explode("bands").alias("band"), F.col("class").alias("id"))
+    # counted by partial sums and written, so that Spark can split the members of a crowded band when it joins them
+    leads = stored(keyed.groupBy("band").agg(F.min("id").alias("cell"), F.count("*").alias("members")).where("members > 1").select("band", "cell"), "leads")
     cells = stored(keyed.join(leads.hint("merge"), "band").select("cell", "id").distinct(), "cells")
+    discard(leads)
     links = verified(cells, named, words, percent, text)
+    discard(cells)
     found = components(links)
+    discard(links)
     # components of classes by the leader's id; one id may lead several classes, which then are one document
     member = rows.join(classes_only, ["n_shingles", "s1", "s2"]).select("doc_id", F.col("class").alias("id")).join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     per_id = member.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("hi"))
@@ -134,8 +138,9 @@ def verified(cells: DataFrame, docs: DataFrame, words: int, percent: int, text:
     own = docs.select("doc_id", F.col(text).alias("text")).join(wanted.hint("merge"), "doc_id")
     held = stored(shingle_sets(own, words, "text", ["doc_id"]), "shingles")
     release(docs.sparkSession)
-    blocks = cells.groupBy("cell").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
-    placed = cells.join(blocks.hint("merge"), "cell").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    blocks = cells.groupBy("cell").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks")).where("blocks > 1")
+    blocks = stored(blocks, "blocks")  # crowded cells only; written, so that Spark can split their members in the join
+    placed = cells.join(blocks, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     placed = placed.select("cell", "id", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     tasks = placed.select("cell", "id", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"), (F.col("own") > F.col("other")).alias("right"))
     sent = tasks.join(held.select(F.col("doc_id").alias("id"), "shingles").hint("merge"), "id").select("cell", "l", "r", "right", "id", "shingles")
@@ -172,7 +177,8 @@ def verified(cells: DataFrame, docs: DataFrame, words: int, percent: int, text:
 
     dealt = sent.repartition("cell", "l", "r").sortWithinPartitions("cell", "l", "r")
     links = stored(dealt.mapInArrow(run, f"a {kind}, b {kind}"), "links")
-    discard(held)
+    for spent in (held, blocks):
+        discard(spent)
     return links
 
 
