@@ -56,3 +56,14 @@ def observation_uid_artifact(artifact: Column, namespace: str, row: Column) -> C
 def observation_uid_row(namespace: str, row: Column) -> Column:
     """An observation named by its row alone."""
     return canonical_uid("obs_", namespace=F.lit(namespace), row_index=row)
+
+
+def config_id(config: dict) -> str:
+    """The name of a configuration: its canonical JSON's digest."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def id_order(value: Column) -> Column:
+    """Sorts identities given as text: whole numbers first, by size, then all others by their characters."""
+    number = F.when(value.rlike(r"^-?\d+$"), value.cast("decimal(38,0)"))
+    return F.struct(number.isNull().alias("text"), number.alias("number"), F.when(number.isNull(), value).alias("name"))

@@ -78,6 +78,13 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.when(good, n).otherwise(F.raise_error(F.lit("vector without a finite positive norm")).cast("double")))
 
 
+def unit32(a: Column) -> Column:
+    """A vector over its length, both rounded to single precision after each step; raises like unit()."""
+    n = F.sqrt(F.aggregate(a, F.lit(0.0).cast("float"), lambda s, x: (s + x.cast("float") * x.cast("float")).cast("float"))).cast("float")
+    good = (n > 0) & (n < float("inf")) & ~F.isnan(n)
+    return F.transform(a, lambda x: (x.cast("float") / F.when(good, n).otherwise(F.raise_error(F.lit("vector without a finite positive norm")).cast("float"))).cast("float"))
+
+
 def kernel01(similarity: Column) -> Column:
     """A cosine as a similarity in [0, 1]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 + similarity) / 2))

@@ -80,3 +80,25 @@ def completeness(fields: list[str]) -> Column:
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b where b > 0, else null."""
     return F.when(b > 0, a / b)
+
+
+#: Derived qualities: shares of one quality in another, or in a product.
+SHARES = {
+    "NumericFeatureFraction": ("NumberOfNumericFeatures", ["NumberOfFeatures"]), "SymbolicFeatureFraction": ("NumberOfSymbolicFeatures", ["NumberOfFeatures"]),
+    "MissingValueFraction": ("NumberOfMissingValues", ["NumberOfInstances", "NumberOfFeatures"]), "InstancesWithMissingFraction": ("NumberOfInstancesWithMissingValues", ["NumberOfInstances"]),
+    "MajorityClassFraction": ("MajorityClassSize", ["NumberOfInstances"]), "MinorityClassFraction": ("MinorityClassSize", ["NumberOfInstances"]),
+}
+LOGS = ("NumberOfInstances", "NumberOfFeatures", "NumberOfClasses", "MaxNominalAttDistinctValues")
+
+
+def intrinsic(ids: DataFrame, metadata: DataFrame, key: str, shares: dict[str, tuple[str, list[str]]] | None = None, logs: tuple[str, ...] = LOGS) -> DataFrame:
+    """A row for each distinct key of ids: metadata's qualities (null unless a number of 0 or more), log1p_<quality>s and shares.
+
+    A share is null where a quality is or a divisor isn't above 0; keys without metadata have nulls.
+    """
+    shares = SHARES if shares is None else shares
+    qualities = list(dict.fromkeys([*logs, *[q for top, below in shares.values() for q in (top, *below)]]))
+    clean = check(metadata, [key, *qualities], unique=[key]).select(key, *[nonnegative(F.col(q)).alias(q) for q in qualities])
+    out = ids.select(key).distinct().join(clean, key, "left")
+    guarded = lambda top, below: F.when(reduce(lambda a, b: a & b, [F.col(q) > 0 for q in below]), F.col(top) / reduce(lambda a, b: a * b, [F.col(q) for q in below]))
+    return out.select("*", *[F.log1p(q).alias(f"log1p_{q}") for q in logs], *[guarded(*x).alias(name) for name, x in shares.items()])

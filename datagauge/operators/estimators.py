@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datagauge.operators.contracts import outside, require
@@ -128,3 +128,31 @@ def matrix_completion(cells: DataFrame, task_features: DataFrame, flow_features:
     from datagauge.functions.scalars import dot
 
     return test.join(t, "task", "left").join(f, "flow", "left").withColumn("prediction", F.lit(mean) + F.coalesce(dot(F.col("_u"), F.col("_v")), F.lit(0.0))).drop("_u", "_v")
+
+
+def ngrams(text: Column, most: int = 2) -> tuple[Column, Column]:
+    """Words of two characters or more, in lower case, and, of such words in a column _w, all runs of up to `most`."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
+    runs = [run(n) for n in range(1, most + 1)]
+    guarded = [F.when(F.size("_w") >= n, run).otherwise(F.array().cast("array<string>")) for n, run in enumerate(runs, 1)]
+    return words, F.concat(*guarded)
+
+
+def text_block(train: DataFrame, rows: DataFrame, key: str, text: str, most: int = 2) -> DataFrame:
+    """(key, term, weight) of rows by a TF-IDF fitted on train's texts: logarithmic counts, smooth idf, rows of length 1.
+
+    Equal texts of train count once; terms that train hasn't are left out, and a row without any has no row.
+    """
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        words, runs = ngrams(F.col(text), most)
+        each = df.select(F.col(name).alias("_k"), words.alias("_w")).select("_k", F.explode(runs).alias("term"))
+        return each.groupBy("_k", "term").agg(F.count("*").alias("tf"))
+
+    fitted = train.select(text).distinct().withColumn("_id", F.xxhash64(text))
+    n = fitted.count()
+    idf = counted(fitted, "_id").groupBy("term").agg((F.log((1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
+    raw = counted(rows, key).join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_k")))
+    return raw.select(F.col("_k").alias(key), "term", (F.col("w") / length).alias("weight"))
