@@ -69,38 +69,22 @@ def temporal_boundaries(rows: DataFrame, time: str, fractions: tuple[float, ...]
     """The last times of blocks: those whose running counts are nearest to the fractions of all rows.
 
     A time is never split; ties go to the earlier; each is sought after the one before, never the last
-    time. Counts of times are summed by day first, so the driver looks at days and then at the times of a few of them.
+    time. Running counts are made within hours, which begin where the counts of those before end; the driver gets one row.
     """
-    counts = rows.groupBy(time).agg(F.count("*").alias("n")).withColumn("_d", F.date_trunc("day", time))
-    days = [(r._d, r.n) for r in counts.groupBy("_d").agg(F.sum("n").alias("n")).orderBy("_d").collect()]
-    total, out, last = sum(n for _, n in days), [], None
-    end = counts.agg(F.max(time)).first()[0]
-    for fraction in fractions:
-        target, before, found = fraction * total, 0, None
-        edges = []
-        for i, (day, n) in enumerate(days):
-            edges.append((day, before, i))
-            before += n
-        near = next((i for i, (_, start, _) in enumerate(edges) if start + days[i][1] >= target), len(days) - 1)
-        wanted = {days[i][0]: edges[i][1] for i in range(max(0, near - 1), min(len(days), near + 2))}
-        if last is not None:  # the boundary before may stand beyond those days
-            wanted |= {d: s for d, s, _ in edges if d >= days[near][0] and d <= last.replace(hour=0, minute=0, second=0, microsecond=0)}
-            after = next((i for i, (d, _) in enumerate(days) if d > last.replace(hour=0, minute=0, second=0, microsecond=0)), None)
-            if after is not None:
-                wanted[days[after][0]] = edges[after][1]
-        start = min(wanted, default=None)
-        running = None
-        for r in counts.where(F.col("_d").isin(*wanted)).orderBy(time).collect():
-            if running is None or r._d != start:
-                running, start = wanted[r._d], r._d
-            running += r.n
-            if (last is None or r[time] > last) and r[time] < end:
-                gap = abs(running - target)
-                if found is None or gap < found[0]:
-                    found = (gap, r[time])
-        require(found is not None, "too few different times for the blocks")
-        last = found[1]
-        out.append(last)
+    counts = rows.groupBy(time).agg(F.count("*").alias("n")).withColumn("_h", F.date_trunc("hour", time))
+    hours = counts.groupBy("_h").agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each hour
+    hours = hours.select("_h", before.alias("_before"))
+    upto = F.sum("n").over(Window.partitionBy("_h").orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
+    running = counts.join(hours, "_h").select(time, (upto + F.col("_before")).alias("_c"))
+    total, end = rows.agg(F.count(time), F.max(time)).first()
+    nearest = lambda f: F.min_by(time, F.struct(F.abs(F.col("_c") - f * total), F.col(time)))
+    inside = running.where(F.col(time) < F.lit(end))
+    out = list(inside.agg(*[nearest(f).alias(f"_{i}") for i, f in enumerate(fractions)]).first())
+    for i, f in enumerate(fractions):  # seldom: a nearest time that isn't after the boundary before
+        if i and out[i] is not None and out[i] <= out[i - 1]:
+            out[i] = inside.where(F.col(time) > F.lit(out[i - 1])).agg(nearest(f)).first()[0]
+        require(out[i] is not None, "too few different times for the blocks")
     return out
 
 

@@ -258,8 +258,8 @@ def test_pagerank(spark):
     fast = {(r.source, r.node): r.score for r in graph.pagerank_batches(nodes, edges, sources).collect()}
     assert fast[("A::9", "A::9")] == pytest.approx(1)
     assert sum(v for (s, _), v in fast.items() if s == "A::1") == pytest.approx(1)
-    slow = {(r.source, r.node): r.score for r in graph.pagerank(nodes, edges, sources.where("source = 'A::1'"), tolerance=1e-3).collect()}
-    assert slow[("A::1", "B::1")] == pytest.approx(fast[("A::1", "B::1")], abs=1e-2)
+    slow = {(r.source, r.node): r.score for r in graph.pagerank(nodes, edges, sources, tolerance=1e-3).collect()}
+    assert {k: pytest.approx(v, abs=1e-2) for k, v in slow.items() if v > 1e-9} == {k: v for k, v in fast.items() if v > 1e-9}
     walked = graph.walks(edges, nodes.select(F.col("node").alias("root")), 4, 2).collect()
     assert len(walked) == 8 and all(not r.complete and r.walk == ["A::9"] for r in walked if r.root == "A::9")
     vectors = graph.skip_gram(graph.walks(graph.simple(edges), nodes.select(F.col("node").alias("root")), 4, 2), 4, 2, 2, 1, typed=True)
@@ -355,3 +355,55 @@ def test_games_read_every_supplier(spark, monkeypatch, name):
         return sorted(map(repr, ranking.QUERIES[name](spark, "").collect()))
 
     assert result(0.1) != result(0.0)
+
+
+def test_rounds_of_replacements_can_be_chained(spark):
+    census = spark.createDataFrame([(f"i{n}", "g", "s", f"{n:02d}", n, f"h{n}") for n in range(6)] + [("z", "g", "t", "00", 0, "h")], "intent_id string, `group` string, stratum string, sampling_key string, support int, sha256 string")
+    active = spark.createDataFrame([("i0", "i0", 2), ("i1", "i1", 1), ("z", "z", 2)], "intent_id string, origin string, attempt int")
+    used = active.select("intent_id")
+    marked = spark.createDataFrame([("i0", "DUPLICATE"), ("i1", "DUPLICATE"), ("z", "KEPT")], "intent_id string, status string")
+    assert {r.intent_id: (r.attempt, r.next_action) for r in workload.after_duplicates(active, marked).collect()} == {"i0": (3, "REPLACE"), "i1": (2, "NEXT_ATTEMPT"), "z": (2, "KEEP")}
+    after, used = workload.next_round(census, active, spark.createDataFrame([("i0",)], "intent_id string"), used)
+    assert {r.origin: r.intent_id for r in after.collect()} == {"i0": "i2", "i1": "i1", "z": "z"} and used.count() == 4
+    after, used = workload.next_round(census, after.drop("status"), spark.createDataFrame([("i2",), ("i1",), ("z",)], "intent_id string"), used, keep_missing=True)
+    assert {r.origin: (r.intent_id, r.status) for r in after.collect()} == {"i0": ("i3", "REPLACED"), "i1": ("i4", "REPLACED"), "z": (None, "STRUCTURAL_NA")}
+    assert sorted(r.intent_id for r in used.collect()) == ["i0", "i1", "i2", "i3", "i4", "z"]
+
+
+def test_identities_of_configurations_and_candidates(spark):
+    import hashlib
+    import json
+
+    from datagauge.functions import identity, scalars
+
+    assert identity.config_id({"b": 1, "a": "é"}) == hashlib.sha256('{"a":"é","b":1}'.encode()).hexdigest()
+    df = spark.createDataFrame([("10",), ("9",), ("b",), ("-1",), ("a1",)], "id string")
+    assert [r.id for r in df.orderBy(identity.id_order(F.col("id"))).collect()] == ["-1", "9", "10", "a1", "b"]
+    got = df.where("id = 'b'").select(workload.candidate_identity(F.col("id"), F.lit(0), F.lit(2), F.lit("text")).alias("c")).first().c
+    want = {"attempt": 0, "index": 2, "intent": "b", "text_sha256": hashlib.sha256(b"text").hexdigest()}
+    assert got == hashlib.sha256(json.dumps(want, separators=(",", ":")).encode()).hexdigest()
+    v = np.array([3.0, 1.0, 2.0], np.float32)
+    got = spark.createDataFrame([([3.0, 1.0, 2.0],)], "v array<double>").select(scalars.unit32(F.col("v")).alias("u")).first().u
+    assert np.allclose(got, v / np.sqrt((v * v).sum()), atol=1e-7)
+
+
+def test_global_ranks_have_no_gaps(spark):
+    from datagauge.operators import retrieval
+
+    df = spark.range(500).selectExpr("id", "if(id % 50 = 7, null, cast(id * 37 % 20 as double)) as score")
+    want = sorted(df.collect(), key=lambda r: (r.score is None, -(r.score or 0), r.id))
+    for ranges in (1, 3, 200):
+        got = {r.id: r["rank"] for r in retrieval.global_rank(df, "id", "score", ranges).collect()}
+        assert got == {r.id: i + 1 for i, r in enumerate(want)}
+
+
+def test_boundaries_are_sought_after_the_one_before(spark):
+    from datagauge.operators import splits
+
+    rows = spark.createDataFrame([(i, f"2024-01-01 0{i}:00:00") for i in range(6) for _ in range(50 if i == 0 else 1)], "i int, t string").selectExpr("i", "cast(t as timestamp) as time")
+    assert [b.hour for b in splits.temporal_boundaries(rows, "time")] == [0, 1, 2, 3]
+    from datagauge.operators import regimes
+
+    inner = spark.createDataFrame([(0, 1, "TRAIN"), (0, 5, "VALIDATION"), (1, 4, "TRAIN"), (1, 2, "VALIDATION")], "fold_id int, uid int, role string")
+    got = regimes.chronological(inner, rows.selectExpr("i as uid", "time").distinct()).collect()
+    assert {r.fold_id: r.strict for r in got} == {0: True, 1: False}
