@@ -59,22 +59,22 @@ def fold_sums(rows: DataFrame, keys: list[str], fold: str, y: str, folds: int =
     return rows.groupBy(*keys).agg(counts, sums)
 
 
-def held_out_means(rows: DataFrame, keys: list[str], fold: str, y: str, name: str, folds: int = 5) -> DataFrame:
-    """rows with `name`: the mean of y over rows of their keys in other folds; null if there are none. Sums are made once for each key."""
+def held_out_means(rows: DataFrame, facts: DataFrame, keys: list[str], fold: str, y: str, name: str, folds: int = 5) -> DataFrame:
+    """rows with `name`: the mean of y over facts of their keys in other folds; null if there are none. Sums are made once for each key."""
     at = lambda c: F.element_at(c, F.col(fold) + 1)
     mean = F.try_divide(at("_s"), at("_n").cast("double"))
-    totals = fold_sums(rows, keys, fold, y, folds).withColumnsRenamed({"n": "_n", "s": "_s"})
+    totals = fold_sums(facts, keys, fold, y, folds).withColumnsRenamed({"n": "_n", "s": "_s"})
     joined = rows.join(totals, keys) if keys else rows.crossJoin(F.broadcast(totals))  # one row
     return joined.withColumn(name, mean).drop("_n", "_s")
 
 
-def held_out_residuals(rows: DataFrame, task: str, flow: str, fold: str, y: str, name: str, folds: int = 5) -> DataFrame:
-    """rows with `name`: the mean over rows of their flow in other folds of y less the task's mean in other folds; null if there are none.
+def held_out_residuals(rows: DataFrame, facts: DataFrame, task: str, flow: str, fold: str, y: str, name: str, folds: int = 5) -> DataFrame:
+    """rows with `name`: the mean over facts of their flow in other folds of y less the task's mean in other folds; null if there are none.
 
     Residuals are summed over (task, flow) cells: a cell's sum outside a fold less its count there times the task's mean.
     """
-    cells = fold_sums(rows, [task, flow], fold, y, folds)
-    tasks = fold_sums(rows, [task], fold, y, folds).select(task, F.zip_with("s", "n", lambda s, n: F.try_divide(s, n.cast("double"))).alias("_t"))
+    cells = fold_sums(facts, [task, flow], fold, y, folds)
+    tasks = fold_sums(facts, [task], fold, y, folds).select(task, F.zip_with("s", "n", lambda s, n: F.try_divide(s, n.cast("double"))).alias("_t"))
     both = cells.join(tasks, task)
     item = lambda c, k: F.col(c)[k]
     left = F.array(*[F.sum(F.when(item("n", k) > 0, item("s", k) - item("n", k) * item("_t", k))) for k in range(folds)]).alias("_s")

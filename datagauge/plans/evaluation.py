@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from datagauge.functions import scalars
 from datagauge.operators import accounting, baselines, inference, splits, workload
 from datagauge.operators.estimators import ridge
+from datagauge.operators.graph import kept
 from datagauge.plans.adapters import NAMESPACE, observations, rounded, table
 
 QUERIES, ORACLES = {}, {}
@@ -44,8 +45,9 @@ SELECT o.fold AS held, count(*) AS n, count(*) FILTER (m IS NULL) AS fallbacks,
 FROM obs o JOIN whole w ON w.held = o.fold LEFT JOIN means x ON x.held = o.fold AND x.task = o.task AND x.flow = o.flow GROUP BY o.fold""")
 def frequency_baseline(spark, sf_dir):
     """Mean by (task, flow) with the mean of all as fallback, on folds of whole runs."""
-    rows = folded(spark, sf_dir).select("task", "flow", "fold", "accuracy")
-    scored = baselines.held_out_means(baselines.held_out_means(rows, ["task", "flow"], "fold", "accuracy", "m"), [], "fold", "accuracy", "g")
+    facts = kept(folded(spark, sf_dir).select("task", "flow", "fold", "accuracy"), "folded")
+    scored = baselines.held_out_means(facts, facts, ["task", "flow"], "fold", "accuracy", "m")
+    scored = baselines.held_out_means(scored, facts, [], "fold", "accuracy", "g")
     return rounded(scored.groupBy(F.col("fold").alias("held")).agg(F.count("*").alias("n"), F.count_if(F.col("m").isNull()).alias("fallbacks"), F.avg(F.abs(F.coalesce("m", "g") - F.col("accuracy"))).alias("mae")))
 
 
@@ -61,10 +63,10 @@ UNION ALL SELECT 'TF_ADD', y, coalesce(tm, g) + coalesce(rm, 0), CASE WHEN tm IS
 SELECT name, status, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(count(*) / sum(count(*)) OVER (PARTITION BY name), 6) AS share FROM p GROUP BY name, status""")
 def baseline_status(spark, sf_dir):
     """Status shares and errors of four mean baselines over all folds."""
-    rows = folded(spark, sf_dir).select("task", "flow", "fold", "accuracy")
+    rows = facts = kept(folded(spark, sf_dir).select("task", "flow", "fold", "accuracy"), "folded")
     for keys, name in (([], "g"), (["task"], "t"), (["flow"], "f")):
-        rows = baselines.held_out_means(rows, keys, "fold", "accuracy", name)
-    rows = baselines.held_out_residuals(rows, "task", "flow", "fold", "accuracy", "r")
+        rows = baselines.held_out_means(rows, facts, keys, "fold", "accuracy", name)
+    rows = baselines.held_out_residuals(rows, facts, "task", "flow", "fold", "accuracy", "r")
     t, f, r, g = (F.col(c) for c in "tfrg")
     native = lambda c: F.when(c.isNull(), baselines.FALLBACK).otherwise(baselines.NATIVE)
     both = F.when(t.isNull() & r.isNull(), baselines.FALLBACK).when(t.isNull() | r.isNull(), baselines.MIXED).otherwise(baselines.NATIVE)
