@@ -44,13 +44,17 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems have it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_datagauge_path", None)
+    path = getattr(df, "_datagauge_path", None)
     if path:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
 
 
 def widened(kept: list, fields: list[tuple[str, str]]) -> StructType:

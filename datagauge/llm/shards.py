@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datagauge.llm.frames import discard, release, shared_dir, stored
+from datagauge.llm.frames import discard, release, remove, shared_dir, stored
 from datagauge.llm.kernels import mix, ragged, slices
 
 ROUNDS = 6
@@ -269,4 +269,5 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, lengt
             del sent, dealt
             release(spark)
     discard(tokens)
+    remove(spark, numbers)
     return manifest.withColumn("sha256", F.lower(F.hex("sha256")))
