@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n; kept between calls, grown when a longer text comes."""
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         m = max(n, 1 << 16)
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
             a = np.full(m, base, np.uint64)

@@ -397,3 +397,12 @@ def test_kernels_survive_slices():
     whole, at = shingle_hashes(*buffers(batch.column("text")), 2)
     pieces = np.concatenate([shingle_hashes(*buffers(p.column("text")), 2)[0] for p in parts])
     assert (whole == pieces).all() and np.diff(at).tolist() == [2, 0, 0, 1, 1] and whole[0] == whole[3]
+
+
+def test_a_worker_may_begin_with_empty_texts(monkeypatch):
+    from datagauge.llm import kernels, quality, toxicity
+
+    monkeypatch.setattr(kernels, "_powers", {})
+    none = np.zeros(0, np.uint8), np.zeros(3, np.int64)
+    assert kernels.prefix_hash(none[0]).tolist() == [0]
+    assert quality.statistics(*none).shape == (2, quality.STATISTICS) and toxicity.terms(*none)[1].tolist() == [0, 0, 0]
