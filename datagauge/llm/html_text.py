@@ -1,28 +1,29 @@
 """Main text of web pages, by differencing pages of neighbouring URLs.
 
 Pages stand in the order of host, URL path and content; equal pages next to each other are a run. Each page is
-paired with the page before or after its run whose path has the longer prefix in common, past copies of itself: of
-the REACH runs on either side the nearest that isn't a copy counts. The text lines of both are aligned by a longest
+paired with the page before or after its run whose path has the longer prefix in common, past copies of itself, however many:
+on either side the nearest run of the host that isn't a copy counts. The text lines of both are aligned by a longest
 common subsequence, and lines that they share are deleted: a template repeats, an article doesn't. Lines inside a
 marked article are never deleted (copies of an article, or of its paragraphs, would vanish), and marked
 boilerplate goes even where a page has no neighbour.
 
 Pages are dealt out by ranges of that order, so that even one host's or one URL's pages are shared out. A range also gets the
-pages next to it, so no result depends on where a range ends.
+pages next to it, so no result depends on where a range ends. Where REACH runs on a side are all copies, the search goes on
+from range to range to the host's end before texts are made (`onward`).
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datagauge.llm.frames import widened
+from datagauge.llm.frames import discard, stored, widened
 from datagauge.llm.kernels import slices
 
 TOKEN = re.compile(
@@ -41,8 +42,9 @@ BOILERPLATE = frozenset("head nav footer aside form menu dialog button select fi
 HINTS = frozenset("ad ads advert adverts advertisement banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice popup modal promo sponsor sponsored share sharing social comment comments respond disqus related newsletter subscribe footer masthead pagination pager widget toolbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 LINE, IN_ARTICLE, IN_MAIN = 0, 1, 2
-#: Of two copies one has all but this share of its characters in lines that the other has too. So many runs of pages are looked at on either side.
-COPY, REACH = 0.1, 8
+#: Of two copies one has all but this share of its characters in lines that the other has too. So many runs of pages are looked at on either
+#: side before the search goes on by stretches of STRETCH runs.
+COPY, REACH, STRETCH = 0.1, 8, 64
 #: Texts are sent on once there are so many characters.
 SENT = 4_000_000
 
@@ -167,40 +169,99 @@ def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | N
     return "\n\n".join(s for i, (s, p) in enumerate(lines) if p == best and i not in gone)
 
 
+def own_lines(lines: list[tuple[str, int]]) -> Counter:
+    """The lines of a page's main text, each with its number."""
+    best = place_of(lines)
+    return Counter(s for s, p in lines if p == best)
+
+
+def size(lines: Counter) -> int:
+    return sum(len(s) * n for s, n in lines.items())
+
+
 def within(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
     """Whether lines of b hold (almost) all of a's main text."""
-    best = place_of(a)
-    own = Counter(s for s, p in a if p == best)
-    return sum(len(s) * n for s, n in (own - Counter(s for s, _ in b)).items()) <= COPY * sum(len(s) * n for s, n in own.items())
+    own = own_lines(a)
+    return size(own - Counter(s for s, _ in b)) <= COPY * size(own)
 
 
 @dataclass
 class Run:
-    """Equal pages next to each other: their lines, and of each its path and whether it is this range's own."""
+    """Equal pages next to each other: their lines, of each its path and whether it is this range's own, and (path, lines) found beyond REACH by side."""
 
     host: str
     content: int
     lines: list
     pages: list = field(default_factory=list)
+    beyond: dict = field(default_factory=dict)
+
+    def paired(self) -> bool:
+        return bool(self.host and self.lines) and place_of(self.lines) != IN_ARTICLE
 
 
 def copies(a: Run, b: Run) -> bool:
     return not b.lines or within(a.lines, b.lines) or within(b.lines, a.lines)
 
 
+def nearest(runs: list[Run], at: int, side: int) -> tuple[tuple | None, bool]:
+    """(path, lines) of the nearest run on a side (-1: before, 1: after) that isn't a copy, if it is within REACH, and whether the search ends there or at the host's end."""
+    seen = runs[max(0, at - REACH) : at][::-1] if side < 0 else runs[at + 1 : at + 1 + REACH]
+    found = next(((r.pages[-1 if side < 0 else 0][0], r.lines) for r in seen if not copies(runs[at], r)), None)
+    return found, found is not None or len(seen) < REACH
+
+
 def texts(runs: list[Run], at: int):
     """The main text of each own page of a run; those with the same path are worked out once."""
     run, last, near = runs[at], None, []
-    if run.host and run.lines and place_of(run.lines) != IN_ARTICLE:
-        for side, end in ((runs[max(0, at - REACH) : at][::-1], -1), (runs[at + 1 : at + 1 + REACH], 0)):
-            near += [(r.lines, r.pages[end][0]) for r in side if not copies(run, r)][:1]
+    if run.paired():
+        for side in (-1, 1):
+            found, ended = nearest(runs, at, side)
+            near += [x for x in [found if ended else run.beyond.get(side)] if x]
     for path, own in run.pages:
         if own:
             if last is None or last[0] != path:
-                last = path, main_text(run.lines, max(near, key=lambda x: prefix(x[1], path), default=(None,))[0])
+                last = path, main_text(run.lines, max(near, key=lambda x: prefix(x[0], path), default=(None, None))[1])
             yield last[1]
 
 
+class Search:
+    """A host's runs, for the nearest on a side that isn't a copy of a page, whatever the number of copies before it.
+
+    Stretches of runs are passed as a whole if what all of them hold holds the page, or the page what any of them holds; other
+    stretches are gone through run by run, so what is found is what a look at each run would find.
+    """
+
+    def __init__(self, runs: list[Run]):
+        self.runs = [r for r in runs if r.lines]  # a page without text is nobody's neighbour
+        self.firsts = [(r.pages[0][0], r.content) for r in self.runs]
+        self.whole = [Counter(s for s, _ in r.lines) for r in self.runs]
+        self.own = [own_lines(r.lines) for r in self.runs]
+        self.stretches = []
+        for low in range(0, len(self.runs), STRETCH):
+            every, some = self.whole[low].copy(), Counter()
+            for whole, own in zip(self.whole[low : low + STRETCH], self.own[low : low + STRETCH], strict=True):
+                every &= whole
+                some |= own
+            self.stretches.append((every, some, min(size(x) for x in self.own[low : low + STRETCH])))
+
+    def nearest(self, lines: list[tuple[str, int]], side: int, first: tuple[str, int]) -> Run | None:
+        """On a side of the run that begins at `first` (path, content), which may stand in another range."""
+        whole, own = Counter(s for s, _ in lines), own_lines(lines)
+        at = bisect_right(self.firsts, first) if side > 0 else bisect_left(self.firsts, first) - 1
+        spare, entered = COPY * size(own), None
+        while 0 <= at < len(self.runs):
+            if at // STRETCH != entered:
+                entered = at // STRETCH
+                every, some, least = self.stretches[entered]
+                if size(own - every) <= spare or size(some - whole) <= COPY * least:
+                    at = (entered + 1) * STRETCH if side > 0 else entered * STRETCH - 1
+                    continue
+            if size(own - self.whole[at]) > spare and size(self.own[at] - whole) > COPY * size(self.own[at]):
+                return self.runs[at]
+            at += side
+        return None
+
+
 def prefix(a: str, b: str) -> int:
     n = min(len(a), len(b))
     return next((i for i in range(n) if a[i] != b[i]), n)
@@ -266,19 +327,161 @@ def guests(ranges: list[tuple[tuple, list[tuple]]]) -> list[tuple]:
     return sorted(out)
 
 
+def marked(source: DataFrame) -> DataFrame:
+    """KEY of pages, and whether the text of a page hangs on its neighbours."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in slices(batches, "page"):
+            alone = [Run(host, 0, lines_of(page or "") if host else []).paired() for host, page in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), pa.array(alone, pa.bool_())], names=[*KEY, "paired"])
+
+    return source.select(*KEY, "page").mapInArrow(run, "host string, path string, content bigint, row bigint, paired boolean")
+
+
+def windows(batches, taken):
+    """(runs, place) of each run of a range's pages once the REACH runs on either side stand with it, None after each slice; taken() gets slices, and which rows are own."""
+    runs: list[Run] = []  # of one host: REACH that are settled, then those that wait for pages after them
+    todo = 0
+
+    def settle(leave):
+        nonlocal todo
+        while len(runs) - todo > leave:
+            yield runs, todo
+            todo += 1
+            if todo > REACH:
+                runs.pop(0)
+                todo -= 1
+
+    for batch in slices(batches, "page"):
+        mine = batch.column("side").to_numpy() == 0
+        taken(batch, mine)
+        pages_ = batch.column("page")
+        beyond = [(side, batch.column(name)) for side, name in ((-1, "before"), (1, "after")) if batch.column(name).null_count < batch.num_rows]
+        for i, (host, path, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in KEY[:3]), strict=True)):
+            if not runs or runs[-1].host != host or runs[-1].content != content:
+                if runs and runs[-1].host != host:
+                    yield from settle(0)
+                    runs.clear()
+                    todo = 0
+                runs.append(Run(host, content, lines_of(pages_[i].as_py() or "")))
+                yield from settle(REACH + 1)
+            runs[-1].pages.append((path, bool(mine[i])))
+            for side, column in beyond:
+                if column[i].is_valid:
+                    found = column[i].as_py()
+                    runs[-1].beyond[side] = found["path"], [(s, LINE) for s in found["lines"].split("\n")]
+        yield None
+    yield from settle(0)
+
+
+#: A page whose search goes on: its run begins at path and content; its lines, joined by \n, and the place of each; the range to look at.
+ASKED = "host string, path string, content bigint, side int, target int, lines string, places string"
+
+
+def unsettled(dealt: DataFrame) -> DataFrame:
+    """ASKED of the runs of dealt pages that have REACH copies on a side."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        to: list[int] = []  # the range: all own rows have the same
+        rows: list[tuple] = []
+
+        def taken(batch, mine):
+            to[:] = batch.column("target").slice(0, 1).to_pylist()
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["host", "path", "content", "side", "target", "lines", "places"])
+
+        for step in windows(batches, taken):
+            if step is None:
+                if rows:
+                    yield sent()
+                    rows.clear()
+                continue
+            runs, at = step
+            first = next((path for path, own in runs[at].pages if own), None)
+            if first is not None and runs[at].paired():
+                said, places = "\n".join(s for s, _ in runs[at].lines), "".join(str(p) for _, p in runs[at].lines)
+                rows += [(runs[at].host, first, runs[at].content, side, to[0], said, places) for side in (-1, 1) if not nearest(runs, at, side)[1]]
+        if rows:
+            yield sent()
+
+    return dealt.mapInArrow(run, ASKED)
+
+
+def onward(own: DataFrame, asked: DataFrame, ranges: list[tuple[tuple, list[tuple]]]) -> tuple[DataFrame, list[DataFrame]]:
+    """(host, path, content, before, after) of what asked pages find, each (path, lines) or null, and the stored tables that it reads.
+
+    Pages go to the pages of their host in their own range, those that find only copies there to the next range of the host, and so on.
+    """
+    spark = own.sparkSession
+    steps = []  # where a host goes on
+    for at in range(len(ranges) - 1):
+        if ranges[at][1][-1][0] == ranges[at + 1][1][0][0]:
+            steps += [(at, 1, ranges[at][1][-1][0], at + 1), (at + 1, -1, ranges[at][1][-1][0], at)]
+    steps = spark.createDataFrame(steps, "target int, side int, host string, to int")
+
+    def run(batches):
+        import pyarrow as pa
+
+        runs: list[Run] = []
+        search = None
+        for batch in slices(batches, "page"):
+            taken, found = [], []
+            for i, (host, path, content, side, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "content", "side", "places")), strict=True)):
+                page = batch.column("page")[i].as_py() or ""
+                if runs and runs[0].host != host:
+                    runs, search = [], None
+                if side == 0:  # a page of the range; those asked come after all pages of their host
+                    if not runs or runs[-1].content != content:
+                        runs.append(Run(host, content, lines_of(page)))
+                    runs[-1].pages[1:] = [(path, True)]
+                    continue
+                search = search or Search(runs)
+                near = search.nearest(list(zip(page.split("\n"), map(int, places), strict=True)), side, (path, content))
+                taken.append(i)
+                found.append(near and {"path": near.pages[-1 if side < 0 else 0][0], "lines": "\n".join(s for s, _ in near.lines)})
+            if taken:
+                rows = batch.take(pa.array(taken))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("host", "path", "content", "side", "target", "page", "places")), pa.array(found, pa.struct([("path", pa.string()), ("lines", pa.string())]))], names=["host", "path", "content", "side", "target", "lines", "places", "found"])
+
+    settled = []
+    while True:
+        there = own.join(asked.select("target", "host").distinct(), ["target", "host"], "left_semi")
+        there = there.select("host", "path", "content", F.lit(0).alias("side"), "target", "page", F.lit("").alias("places"))
+        both = there.unionByName(asked.withColumnRenamed("lines", "page")).repartitionById(len(ranges), F.col("target"))
+        looked = both.sortWithinPartitions("host", F.col("side") != 0, "path", "content").mapInArrow(run, ASKED + ", found struct<path:string,lines:string>")
+        settled.append(stored(looked, "beyond"))
+        left = settled[-1].where("found is null").join(F.broadcast(steps), ["target", "side", "host"])
+        asked = left.select("host", "path", "content", "side", F.col("to").alias("target"), "lines", "places")
+        if not asked.limit(1).count():
+            break
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    sides = [F.max(F.when(F.col("side") == side, F.col("found"))).alias(name) for side, name in ((-1, "before"), (1, "after"))]
+    out = stored(found.where("found is not null").groupBy("host", "path", "content").agg(*sides), "beyond")
+    return out, settled
+
+
 def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """Rows of pages without the html, with text (the main text, lines joined by two \\n) and n_chars.
 
     Null and empty pages have the text "". Pages without a host in their URL are paired with none, as is the only page of a host.
-    Ties go to the page before. Repeated rows are pages of their own. A page without marked article that has no neighbour but copies within
-    reach keeps all its lines, as does one of which less than COPY of the main text is its own. Pages of any length are read whole. Columns named text or n_chars are replaced.
-    The driver holds the URLs of 18 pages a range.
+    Ties go to the page before. Repeated rows are pages of their own. A page without marked article whose host has only copies of it
+    keeps all its lines, as does one of which less than COPY of the main text is its own. Pages of any length are read whole. Columns named text or n_chars are replaced.
+    The driver holds the URLs of 18 pages a range. Hosts of pages whose text hangs on neighbours are read again, to see which pages have
+    REACH copies on a side; those take one round for each range that their copies fill.
     """
     spark = pages.sparkSession
     kept = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     source = keyed(pages, page, url, kept)
     # as many ranges as it takes tasks to read the pages: keys alone are too small to go by
-    ranges = outline(source.select(*KEY), max(pages.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    keys = stored(marked(source), "keys")
+    ranges = outline(keys.select(*KEY), max(pages.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kinds = source.schema["own"].dataType
     bounds = [key for key, _ in ranges][1:]
     near = spark.createDataFrame(guests(ranges), "host string, path string, content bigint, target int, after boolean")
@@ -292,11 +495,14 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame
     def run(batches):
         import pyarrow as pa
 
-        runs: list[Run] = []  # of one host: REACH that are settled, then those that wait for pages after them
-        todo = size = 0
+        held = 0
         waiting: list = []  # rows of own pages that aren't sent yet, without html
         made: list[str] = []
 
+        def taken(batch, mine):
+            if mine.any():
+                waiting.append(pa.RecordBatch.from_arrays([batch.column("own").take(pa.array(mine.nonzero()[0]))], names=["own"]))  # a copy: the html isn't held
+
         def sent():
             nonlocal waiting, made
             if made:
@@ -305,36 +511,15 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame
                 made = []
                 yield from finished(rows.slice(0, len(ready)), ready)
 
-        def settle(leave):
-            nonlocal todo, size
-            while len(runs) - todo > leave:
-                for text in texts(runs, todo):
-                    made.append(text)
-                    size += len(text)
-                    if size > SENT:
-                        size = 0
-                        yield from sent()
-                todo += 1
-                if todo > REACH:
-                    runs.pop(0)
-                    todo -= 1
-
-        for batch in slices(batches, "page"):
-            mine = batch.column("side").to_numpy() == 0
-            if mine.any():
-                waiting.append(pa.RecordBatch.from_arrays([batch.column("own").take(pa.array(mine.nonzero()[0]))], names=["own"]))  # a copy: the html isn't held
-            pages_ = batch.column("page")
-            for i, (host, path, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in KEY[:3]), strict=True)):
-                if not runs or runs[-1].host != host or runs[-1].content != content:
-                    if runs and runs[-1].host != host:
-                        yield from settle(0)
-                        runs.clear()
-                        todo = 0
-                    runs.append(Run(host, content, lines_of(pages_[i].as_py() or "")))
-                    yield from settle(REACH + 1)
-                runs[-1].pages.append((path, bool(mine[i])))
-            yield from sent()
-        yield from settle(0)
+        for step in windows(batches, taken):
+            for text in texts(*step) if step else ():
+                made.append(text)
+                held += len(text)
+                if held > SENT:
+                    held = 0
+                    yield from sent()
+            if step is None:
+                yield from sent()
         yield from sent()
 
     def finished(rows, made):
@@ -347,7 +532,24 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame
     own = source.withColumn("target", target(*KEY)).withColumn("side", F.lit(0))
     context = source.join(F.broadcast(near), ["host", "path", "content"]).groupBy("host", "path", "content", "target", "after").agg(F.max("page").alias("page"))
     context = context.select(*KEY[:3], F.lit(0).cast("bigint").alias("row"), "page", F.lit(None).cast(kinds).alias("own"), "target", F.expr("if(after, 1, -1)").alias("side"))
-    dealt = own.unionByName(context).repartitionById(max(len(ranges), 1), F.col("target")).sortWithinPartitions("side", *KEY)
-    # side puts the guests before a range first and those after it last, whatever their row
+    kind = "struct<path:string,lines:string>"
+
+    def dealt(own, context):
+        both = own.unionByName(context.withColumn("before", F.lit(None).cast(kind)).withColumn("after", F.lit(None).cast(kind)))
+        # side puts the guests before a range first and those after it last, whatever their row
+        return both.repartitionById(max(len(ranges), 1), F.col("target")).sortWithinPartitions("side", *KEY)
+
+    bare = own.withColumn("before", F.lit(None).cast(kind)).withColumn("after", F.lit(None).cast(kind))
+    hosts = keys.groupBy("host").agg(F.max("paired").alias("paired"), F.count("*").alias("pages")).where(f"paired and pages > {REACH}").select("host")
+    if hosts.limit(1).count():
+        some = [x.join(hosts, "host", "left_semi") for x in (bare, context)]
+        asked = stored(unsettled(dealt(*some).select(*KEY[:3], "side", "target", "page", "before", "after")), "asked")
+        if asked.limit(1).count():
+            found, spent = onward(own, asked, ranges)
+            bare = own.join(found, ["host", "path", "content"], "left")
+            for df in spent:
+                discard(df)
+        discard(asked)
+    discard(keys)
     schema = widened(kinds.fields, [("text", "string"), ("n_chars", "bigint")])
-    return dealt.select(*KEY[:3], "side", "page", "own").mapInArrow(run, schema)
+    return dealt(bare, context).select(*KEY[:3], "side", "page", "own", "before", "after").mapInArrow(run, schema)

@@ -310,6 +310,52 @@ def test_neighbours_do_not_depend_on_partitions(spark, parts):
     assert all((r.host, r.target, r.own, r.side) == ("clash", 1, "own", 0) for r in got)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_neighbours_stand_behind_any_number_of_copies(spark, parts):
+    from datagauge.llm import html_text
+
+    rng = random.Random(8)
+    said = lambda n=6: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    low, story, pages = said(), [said() for _ in range(12)], []
+    page = lambda *lines: "<body>" + "".join(f"<p>{x}</p>" for x in lines)
+    for i in range(90):  # one story, each time with another line: all are copies, but for the ends and one in between
+        far = i in (0, 61, 89)
+        pages.append((i, f"http://a.example/{i:03}", page("Menu", *([said() for _ in range(3)] if far else [*story, said(1)]), low)))
+    for i in range(40):  # short pages that hold parts of a long one
+        lines = [said()] if i in (0, 39) else story if i == 20 else [story[i % 12]]
+        pages.append((100 + i, f"http://b.example/{i:03}", page("Menu", *lines)))
+    pages += [(200 + i, f"http://c.example/{i:03}", page("Menu", *story, said(1))) for i in range(30)]  # copies only
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    keys = {r.own.page_id: (r.host, r.path, r.content) for r in html_text.keyed(df, "html", "url", ["page_id"]).collect()}
+    want = paired_by_hand([(i, *keys[i], h) for i, _, h in pages], len(pages))
+    assert not any(want[i].startswith("Menu") or low in want[i] for i in range(90)) and want[210].startswith("Menu")
+    assert want != paired_by_hand([(i, *keys[i], h) for i, _, h in pages], html_text.REACH)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = html_text.extract(df.coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(pages)
+
+
+def test_stretches_of_copies_are_passed_like_single_ones(monkeypatch):
+    from datagauge.llm import html_text as h
+
+    rng = random.Random(9)
+    monkeypatch.setattr(h, "STRETCH", 4)
+    for _ in range(60):
+        common = [rng.choice("abcdefgh") * 9 for _ in range(rng.randint(0, 5))]
+        made = [[(x, h.LINE) for x in rng.choice(([], common, common[:1])) + [rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(rng.randint(0, 2))]] for _ in range(40)]
+        runs = [h.Run("host", i, lines, [(f"{i:03}", True)]) for i, lines in enumerate(made)]
+        search = h.Search(runs)
+        for at in range(40):
+            for side in (-1, 1):
+                rest = runs[at + 1 :] if side > 0 else runs[:at][::-1]
+                if made[at]:
+                    assert search.nearest(made[at], side, (f"{at:03}", at)) is next((r for r in rest if not h.copies(runs[at], r)), None)
+
+
 def test_hints_of_wrappers_are_not_boilerplate():
     from datagauge.llm.html_text import lines_of
 
