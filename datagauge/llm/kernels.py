@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
+#: For kernels that hold a hundred bytes of working space for each byte of text.
+LEAN_BYTES = 250_000
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,6 +43,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def given_back(parts):
+    """The same parts; at their end a worker, which lives on, gives memory that it no longer uses back to the system."""
+    import ctypes
+
+    try:
+        yield from parts
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in GNU's C library
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named text column has about `most` bytes; a longer single text stays whole."""
     for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from datagauge.llm.components import components
 from datagauge.llm.embeddings import connect
 from datagauge.llm.frames import discard, map_text, release, stored
-from datagauge.llm.kernels import buffers, mix, shingle_hashes
+from datagauge.llm.kernels import LEAN_BYTES, buffers, given_back, mix, shingle_hashes
 
 ROWS, BANDS = 6, 48
 SIZE = ROWS * BANDS
@@ -80,11 +80,11 @@ def signatures(docs: DataFrame, words: int, text: str) -> DataFrame:
 
         return work
 
-    return map_text(docs, text, [("n_shingles", "bigint"), ("s1", "bigint"), ("s2", "bigint"), ("bands", "array<bigint>")], make, ["doc_id"])
+    return map_text(docs, text, [("n_shingles", "bigint"), ("s1", "bigint"), ("s2", "bigint"), ("bands", "array<bigint>")], make, ["doc_id"], LEAN_BYTES)
 
 
 def shingle_sets(docs: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame:
-    return map_text(docs, text, [("shingles", "array<bigint>")], lambda: lambda batch: [lists(sets(*buffers(batch.column(text)), words))], keep)
+    return map_text(docs, text, [("shingles", "array<bigint>")], lambda: lambda batch: [lists(sets(*buffers(batch.column(text)), words))], keep, LEAN_BYTES)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -176,7 +176,7 @@ def verified(cells: DataFrame, docs: DataFrame, words: int, percent: int, text:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b"])
 
     dealt = sent.repartition("cell", "l", "r").sortWithinPartitions("cell", "l", "r")
-    links = stored(dealt.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    links = stored(dealt.mapInArrow(lambda batches: given_back(run(batches)), f"a {kind}, b {kind}"), "links")
     for spent in (held, blocks):
         discard(spent)
     return links

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.llm.frames import map_text
-from datagauge.llm.kernels import LOWER, buffers, prefix_hash, span_hash, words
+from datagauge.llm.kernels import LEAN_BYTES, LOWER, buffers, prefix_hash, span_hash, words
 from datagauge.llm.labelled import held_out, training_rows
 
 #: Classes of bytes whose shares of a document are statistics.
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     Without labelled rows every score is 0.5.
     """
-    sample = map_text(training_rows(docs, labels, label, most, text), "text", [("x", "array<double>")], lambda: vectors("text"), ["doc_id", "y"])
+    sample = map_text(training_rows(docs, labels, label, most, text), "text", [("x", "array<double>")], lambda: vectors("text"), ["doc_id", "y"], LEAN_BYTES)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     rows = sample.select("x", "y", fold.alias("calibrates")).repartition(PARTS, "doc_id").cache()
     try:
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
 
         return lambda batch: [pa.array(np.round(np.clip(shared.value.score(statistics(*buffers(batch.column(text)))), 0, 1), 9))]
 
-    out = map_text(docs, text, [("score", "double")], make, keep)
+    out = map_text(docs, text, [("score", "double")], make, keep, LEAN_BYTES)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.llm.frames import discard, stored, widened
-from datagauge.llm.kernels import buffers, prefix_hash, ragged, sha256_rows, slices, span_hash
+from datagauge.llm.kernels import LEAN_BYTES, buffers, given_back, prefix_hash, ragged, sha256_rows, slices, span_hash
 
 K = 32
 LONGEST = 1024
@@ -69,7 +69,7 @@ def passage_table(texts: DataFrame, length: int, k: int, whole: bool = False) ->
     def run(batches):
         import pyarrow as pa
 
-        for part in slices(batches, "text", 100_000 if whole else 2_000_000):
+        for part in slices(batches, "text", 100_000 if whole else LEAN_BYTES):
             data, offsets = buffers(part.column("text"))
             row, start, n, h, ch, loops = passages(data, offsets, length, k)
             take = pa.array(row)
@@ -81,7 +81,7 @@ def passage_table(texts: DataFrame, length: int, k: int, whole: bool = False) ->
                 made.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data[ragged(offsets[row] + start, size)])]))
             yield pa.RecordBatch.from_arrays(made, names=["h", "ch", "doc_id", "th", "start", "n", "loops", "passage"][: len(made)])
 
-    return texts.mapInArrow(run, f"h bigint, ch bigint, doc_id {kind}, th bigint, start int, n int, loops boolean" + ", passage binary" * whole)
+    return texts.mapInArrow(lambda batches: given_back(run(batches)), f"h bigint, ch bigint, doc_id {kind}, th bigint, start int, n int, loops boolean" + ", passage binary" * whole)
 
 
 def gathered(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -129,7 +129,7 @@ def indexed(parts: DataFrame, length: int) -> DataFrame:
         if held:
             yield work(held)
 
-    return parts.select("h", "doc_id", "th", "start", "n", "passage").repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+    return parts.select("h", "doc_id", "th", "start", "n", "passage").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: given_back(run(batches)), schema)
 
 
 def merged(marks: DataFrame, length: int) -> DataFrame:
@@ -153,7 +153,7 @@ def merged(marks: DataFrame, length: int) -> DataFrame:
             at = np.searchsorted(row[begin], np.arange(len(count) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.ListArray.from_arrays(pa.array(at), pairs)], names=["doc_id", "th", "spans"])
 
-    return marks.mapInArrow(run, f"doc_id {kind}, th bigint, spans array<struct<start:int,stop:int>>")
+    return marks.mapInArrow(lambda batches: given_back(run(batches)), f"doc_id {kind}, th bigint, spans array<struct<start:int,stop:int>>")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", crowd: int = 2_000) -> DataFrame:
@@ -224,7 +224,7 @@ def without_spans(docs: DataFrame, output: tuple[str, ...], text: str = "text",
     def run(batches):
         import pyarrow as pa
 
-        for part in slices(batches, text):
+        for part in slices(batches, text, LEAN_BYTES):
             data, offsets = buffers(part.column(text))
             spans = part.column("spans")
             lists = spans.flatten()
@@ -251,4 +251,4 @@ def without_spans(docs: DataFrame, output: tuple[str, ...], text: str = "text",
             made["kept"] = text_left
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(made[o]() for o in output)], names=[*kept, *output])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: given_back(run(batches)), schema)

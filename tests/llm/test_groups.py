@@ -323,3 +323,58 @@ def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
             assert name in ("repeats", "decontamination") or r.text == texts[r.doc_id]
     assert docs.count() > 50
     assert pipeline.tokens(spark, docs, sf_dir).count() == docs.count() and pipeline.tokens(spark, docs.limit(0), sf_dir).count() == 0
+
+
+class Worker:
+    """Stands for a DataFrame of documents: runs what a worker would run on a batch of them, here."""
+
+    def __init__(self, batch, schema):
+        from types import SimpleNamespace
+
+        self.batch, self.schema, self.columns, self.rows = batch, schema, schema.names, 0
+        self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+    def select(self, *columns):
+        return self
+
+    def withColumn(self, name, column):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.rows = sum(b.num_rows for b in run(iter([self.batch])))
+        return self
+
+
+@pytest.mark.parametrize("stage", ["quality", "signatures", "shingle_sets", "passages", "without_spans"])
+def test_workers_hold_little_beside_a_large_batch(spark, stage, monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from datagauge.llm import minhash, quality, repeats
+
+    rng = random.Random(4)
+    rows = [" ".join(f"{rng.getrandbits(24):x}" for _ in range(250)) for _ in range(2_000)]
+    assert sum(map(len, rows)) > 3_000_000
+    schema = StructType.fromDDL("doc_id bigint, th bigint, at int, text string, spans array<struct<start:int,stop:int>>")
+    spans = pa.array([[{"start": 5, "stop": 300}]] * len(rows), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+    ids = pa.array(range(len(rows)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([0] * len(rows), pa.int32()), pa.array(rows), spans], names=schema.names)
+    monkeypatch.setattr(minhash, "bands", lambda x: x[:2])  # sketches are of one text each
+    made = {
+        "quality": lambda docs: quality.score(docs, SimpleNamespace(score=lambda x: x[:, 0])),
+        "signatures": lambda docs: minhash.signatures(docs, 5, "text"),
+        "shingle_sets": lambda docs: minhash.shingle_sets(docs, 5, "text", ["doc_id"]),
+        "passages": lambda docs: repeats.passage_table(docs, 200, repeats.K),
+        "without_spans": lambda docs: repeats.without_spans(docs, ("kept",)),
+    }[stage]
+    docs = Worker(batch, schema)
+    tracemalloc.start()
+    try:
+        made(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert docs.rows >= len(rows) and peak < 30_000_000
