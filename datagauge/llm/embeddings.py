@@ -4,9 +4,15 @@ On unit vectors, cosine >= c is a Euclidean distance of at most r = sqrt(2 - 2c)
 cell of its nearest pivot as home. Let y, a partner of x, have home j and x home i. By the triangle
 inequality d(x, p_j) <= d(y, p_j) + r <= radius_j + r; and as y is on p_j's side of the bisector of p_i
 and p_j, x is no further than r beyond it: (d(x, p_j)**2 - d(x, p_i)**2) / (2 d(p_i, p_j)) <= r.
-Where both hold, x is a guest of cell j, if j < i (a pair over two cells is met in the lower). Cells then join
-on their own: homes with homes and with guests. A cell is cut into blocks of bounded size, and pairs of
-blocks are the tasks, so a crowded cell is shared out. Vectors of each length have pivots and cells of their own.
+Where both hold, x is a guest of cell j, if j < i (a pair over two cells is met in the lower).
+
+Cells are cut into blocks of bounded size, so a crowded cell is shared out, and blocks that follow each other
+travel as a bundle: a guest goes to a bundle once, however many of its cells may hold a partner, and the cells'
+bounds choose again within the task. A bundle's many guests are shared out too, each share with a copy of the bundle.
+
+Within a task most pairs fall by a bound on their cosine: with projections y, z of x, x' to a few orthonormal
+directions, x . x' <= y . z + |x - y| |x' - z|, worked out in single precision with room for its rounding. Only
+pairs that it leaves are worked out whole, in double precision. Vectors of each length have pivots, cells and a basis of their own.
 """
 
 from __future__ import annotations
@@ -17,24 +23,25 @@ from pyspark.sql import functions as F
 
 from datagauge.llm.components import components
 from datagauge.llm.frames import stored
+from datagauge.llm.kernels import buffers
 
 SLACK = 1e-9
+#: Room for the rounding of a sum of at most DIRECTIONS + 1 products in single precision (under 2e-6).
+ROUNDING = 1e-5
+DIRECTIONS = 16
+#: Bytes of vectors in a bundle of several blocks.
+BUNDLE_BYTES = 1 << 24
 
 
-def units(vectors: list, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and which rows have one; a row is bad if it is null, empty, zero, of another length than width (0: the longest) or holds a null or non-finite component."""
-    width = width or max((len(v) for v in vectors if v is not None), default=0)
-    out = np.full((len(vectors), width), np.nan)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == width:
-            out[i] = np.asarray([np.nan if c is None else c for c in v] if None in v else v, np.float64)
+def scaled(out: np.ndarray) -> np.ndarray:
+    """Scale rows to unit length, in place; which rows could be (not zero, no non-finite component): the others become 0."""
     with np.errstate(all="ignore"):
         top = np.abs(out).max(1, initial=0)
-        good = np.isfinite(top) & (top > 0) & (width > 0)
+        good = np.isfinite(top) & (top > 0) & (out.shape[1] > 0)
         out[good] /= top[good, None]
         out[good] /= np.sqrt((out[good] ** 2).sum(1))[:, None]
     out[~good] = 0
-    return out, good
+    return good
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -63,6 +70,52 @@ def connect(hit: np.ndarray, left: np.ndarray, right: np.ndarray, edges: set) ->
             old[at] = new
 
 
+def basis(x: np.ndarray) -> np.ndarray:
+    """Orthonormal columns, at most DIRECTIONS, along which the rows of x differ most, or nearly so."""
+    rng = np.random.default_rng(0)
+    out = rng.normal(size=(x.shape[1], min(DIRECTIONS, x.shape[1])))
+    x = x - x.mean(0)
+    for _ in range(4):
+        out = np.linalg.qr(x.T @ (x @ out) + 1e-9 * rng.normal(size=out.shape))[0]
+    return out
+
+
+def coordinates(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Single-precision coordinates of unit vectors, and what is left of their length: no cosine is over the product of two such rows by ROUNDING."""
+    y = x @ directions
+    return np.column_stack([y, np.sqrt(np.maximum(1 - (y * y).sum(1), 0))]).astype(np.float32)
+
+
+def near_cells(x: np.ndarray, own: np.ndarray, cells: np.ndarray, p: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+    """For rows of home cells `own`, which of the named cells may hold partners by the bounds of radius and bisector; the own one always may."""
+    d, mine = distances(x, p[cells]), np.maximum(2 - 2 * np.einsum("ij,ij->i", x, p[own]), 0)
+    out = (d <= radius[cells] + reach) & (d**2 - mine[:, None] <= 2 * reach * distances(p, p[cells])[own] + SLACK)
+    return out | (own[:, None] == cells)
+
+
+def packed(x: np.ndarray):
+    """Rows of doubles as a binary Arrow column."""
+    import pyarrow as pa
+
+    x = np.ascontiguousarray(x, np.float64)
+    offsets = (np.arange(len(x) + 1) * x.shape[1] * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x.reshape(-1))])
+
+
+def by_length(values: np.ndarray, offsets: np.ndarray):
+    """For each length of row: that length, which rows have it, and those as a matrix."""
+    sizes = np.diff(offsets)
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        yield n, at, values[offsets[0] : offsets[-1]].reshape(-1, n) if len(at) == len(sizes) else values[offsets[at][:, None] + np.arange(n)]
+
+
+def unpacked(column):
+    """by_length() of a column that packed() made."""
+    raw, offsets = buffers(column)
+    return by_length(raw.view(np.float64), offsets // 8)
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = 0, block: int = 2048, sample: int = 4096, vector: str = "embedding") -> DataFrame:
     """Rows of vectors with n_links, component_id and kept.
 
@@ -89,99 +142,134 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = 0, block
     if missed:
         firsts = spark.createDataFrame(missed, "n int, least bigint")
         sampled += [list(r.v) for r in rows.join(F.broadcast(firsts), (F.size("v") == F.col("n")) & (F.xxhash64("vec_id", "v") == F.col("least")), "left_semi").collect()]
-    cells_of, n_cells = {}, 0  # length: its first cell and its pivots
+    cells_of, n_cells = {}, 0  # length: its first cell, its pivots and its basis
     for n in sorted(sizes):
-        drawn, _ = units([v for v in sampled if len(v) == n])
+        drawn = np.array([v for v in sampled if len(v) == n], np.float64)
+        scaled(drawn)
         wanted = min(pivots or min(max(sizes[n].rows // block, 4), 512), len(drawn))
         chosen, far = [0], distances(drawn, drawn[:1])[:, 0]
         while len(chosen) < wanted and far.max() > reach:  # far from those before
             chosen.append(int(far.argmax()))
             far = np.minimum(far, distances(drawn, drawn[chosen[-1:]])[:, 0])
-        cells_of[n] = n_cells, drawn[chosen]
+        cells_of[n] = n_cells, drawn[chosen], basis(drawn)
         n_cells += len(chosen)
     pivot = spark.sparkContext.broadcast(cells_of)
 
     def home(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
-            size = b["v"].map(len).to_numpy()
-            for n in np.unique(size).tolist():
-                first, p = pivot.value[n]
-                x, _ = units(b["v"][size == n].tolist(), n)
+            v = b.column("v")
+            for n, at, x in by_length(v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()):
+                first, p, _ = pivot.value[n]
+                scaled(x := np.array(x, np.float64))
                 d = distances(x, p)
                 cell = d.argmin(1)
-                yield pd.DataFrame({"vec_id": b["vec_id"].to_numpy()[size == n], "x": list(x), "cell": first + cell, "d": d[np.arange(len(x)), cell], "row": 0})
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), packed(x), pa.array((first + cell).astype(np.int32)), pa.array(d[np.arange(len(x)), cell])], ["vec_id", "x", "cell", "d"])
 
-    homes = stored(rows.mapInPandas(home, "vec_id bigint, x array<double>, cell int, d double, row int").withColumn("row", F.pmod(F.xxhash64("vec_id", "x"), F.lit(2**31 - 1)).cast("int")), "homes")
+    rows = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "v")
+    homes = rows.mapInArrow(home, "vec_id bigint, x binary, cell int, d double").withColumn("row", F.pmod(F.xxhash64("vec_id", "x"), F.lit(2**31 - 1)).cast("int"))
+    homes = stored(homes, "homes")
     cells = {r.cell: (r.n, r.radius) for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}  # one row a pivot
     radius = np.full(n_cells, -10.0)
     blocks = np.zeros(n_cells, np.int64)
+    held = np.zeros(n_cells)
     for c, (n, r) in cells.items():
-        radius[c], blocks[c] = r, -(-n // block)
-
-    def tasks(batches):
-        """Each vector goes to the pairs of blocks of its own cell that hold its block, and as a guest to each block of other cells near enough."""
-        import pandas as pd
-
-        apart = {n: distances(p, p) for n, (_, p) in pivot.value.items()}
-        for whole in batches:
-            size = whole["x"].map(len).to_numpy()
-            for n in np.unique(size).tolist():
-                yield from sent_to(pd, whole[size == n], *pivot.value[n], apart[n])
-
-    def sent_to(pd, b, first, p, apart):
-        x = np.stack(b["x"].to_numpy())
-        d, cell, at = distances(x, p), b["cell"].to_numpy() - first, b["row"].to_numpy()
-        near = (d <= radius[None, first : first + len(p)] + reach) & (d**2 - (d[np.arange(len(x)), cell] ** 2)[:, None] <= 2 * reach * apart[cell] + SLACK)
-        out = []
-        for i in range(len(x)):
-            c, own = first + cell[i], at[i] % blocks[first + cell[i]]
-            for j in range(blocks[c]):
-                out.append((i, c, min(own, j), max(own, j), 0 if own <= j else 1))
-            for g in first + np.flatnonzero(near[i]):
-                if g < c:
-                    out.extend((i, g, j, -1, 2) for j in range(blocks[g]))
-        k = np.array(out, np.int64).reshape(-1, 5)
-        for part in np.array_split(k, max(1, len(k) // 20_000)):
-            yield pd.DataFrame({"cell": part[:, 1], "left": part[:, 2], "right": part[:, 3], "side": part[:, 4], "vec_id": b["vec_id"].to_numpy()[part[:, 0]], "row": at[part[:, 0]], "x": list(x[part[:, 0]])})
-
-    sent = homes.mapInPandas(tasks, "cell int, left int, right int, side int, vec_id bigint, row int, x array<double>")
-    # guests of a block are many in a crowd: they are shared out over tasks by hash, each with a copy of the block
-    guests = sent.where("right = -1")
-    parts = guests.groupBy("cell", "left").agg(F.count("*").alias("n")).select("cell", "left", F.expr(f"cast(ceil(n / {4 * block}) as int)").alias("parts"))
-    parts = stored(parts, "parts")
-    guests = guests.join(parts, ["cell", "left"]).select("cell", "left", F.expr("-1 - pmod(row, parts)").alias("right"), "side", "vec_id", "row", "x")
-    own = homes.select("cell", F.expr("vec_id"), "row", "x")
-    count = spark.createDataFrame([(int(c), int(blocks[c])) for c in cells], "cell int, blocks int")
-    copies = own.join(F.broadcast(count), "cell").withColumn("left", F.expr("pmod(row, blocks)")).join(parts, ["cell", "left"])
-    copies = copies.select("cell", "left", F.explode(F.expr("transform(sequence(0, parts - 1), p -> -1 - p)")).alias("right"), F.lit(0).alias("side"), "vec_id", "row", "x")
-    both = sent.where("right >= 0").unionByName(guests).unionByName(copies)
-
-    def join(key, pdf):
-        import pandas as pd
-
-        x, ids, side = np.stack(pdf["x"].to_numpy()), pdf["vec_id"].to_numpy(), pdf["side"].to_numpy()
-        alone = key[1] == key[2]
-        left = np.flatnonzero(side == 0)
-        right = left if alone else np.flatnonzero(side != 0)
-        links, edges = np.zeros(len(pdf), np.int64), set()
-        label_l = ids[left].astype(np.int64)
-        label_r = label_l if alone else ids[right].astype(np.int64)
-        for at in range(0, len(left), 512):
-            part = left[at : at + 512]
-            hit = x[part] @ x[right].T >= least
-            if alone:
-                hit[np.arange(len(part)), at + np.arange(len(part))] = False
-            links[part] += hit.sum(1)
-            if not alone:
-                links[right] += hit.sum(0)
-            connect(hit, label_l[at : at + 512], label_r, edges)
+        held[c], radius[c], blocks[c] = n, r, -(-n // block)
+    first_block = np.cumsum(blocks) - blocks
+    cell_of = np.repeat(np.arange(n_cells), blocks)  # by block
+    bundle_of, parts = np.zeros(len(cell_of), np.int64), []  # by block, by bundle
+    for n, (first, p, _) in cells_of.items():
+        own = np.flatnonzero((cell_of >= first) & (cell_of < first + len(p)))
+        many = max(1, min(len(own) // 8, BUNDLE_BYTES // (8 * n * block)))  # blocks in a bundle
+        bundle_of[own] = len(parts) + np.arange(len(own)) // many
+        size = (held / np.maximum(blocks, 1))[cell_of[own]]
+        parts += [max(1, -(-int(size[at + many :].sum()) // (4 * block * many))) for at in range(0, len(own), many)]
+    parts = np.array(parts)
+
+    def sent_to(batches):
+        """Each vector goes to the shares of its block's bundle, and as a guest to a share of each bundle before that has blocks of cells near enough."""
+        import pyarrow as pa
+
+        for b in batches:
+            row, cell, ids = (b.column(c).to_numpy() for c in ("row", "cell", "vec_id"))
+            for n, at, x in unpacked(b.column("x")):
+                first, p, _ = pivot.value[n]
+                c = cell[at]
+                number = first_block[c] + row[at] % blocks[c]
+                mine = bundle_of[number]
+                near = near_cells(x, c - first, np.arange(len(p)), p, radius[first : first + len(p)], reach)
+                own = np.flatnonzero((cell_of >= first) & (cell_of < first + len(p)))
+                low = bundle_of[own[0]]
+                has = np.zeros((len(p), bundle_of[own[-1]] - low + 1), np.float32)
+                has[cell_of[own] - first, bundle_of[own] - low] = 1
+                guest, to = np.nonzero((near.astype(np.float32) @ has > 0) & (np.arange(has.shape[1]) < (mine - low)[:, None]))
+                copies = np.repeat(np.arange(len(x)), parts[mine])
+                share = np.arange(len(copies)) - np.repeat(np.cumsum(parts[mine]) - parts[mine], parts[mine])
+                i = np.concatenate([copies, guest])
+                bundle = np.concatenate([mine[copies], low + to])
+                share = np.concatenate([share, row[at][guest] // 65536 % parts[low + to]])
+                step = max(1, (1 << 23) // (8 * n))
+                for k in range(0, len(i), step):
+                    e, cut = i[k : k + step], slice(k, k + step)
+                    arrays = [pa.array(v.astype(np.int32)) for v in (bundle[cut], share[cut], number[e])]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids[at[e]]), packed(x[e])], ["bundle", "share", "block", "vec_id", "x"])
+
+    sent = homes.mapInArrow(sent_to, "bundle int, share int, block int, vec_id bigint, x binary")
+
+    def join(key, table):
+        import pyarrow as pa
+
+        ((n, _, x),) = unpacked(table.column("x"))
+        first, p, directions = pivot.value[n]
+        number = table.column("block").to_numpy()
+        order = np.argsort(number, kind="stable")  # the bundle's own come first
+        x, number, ids = x[order], number[order], table.column("vec_id").to_numpy()[order].astype(np.int64)
+        y = coordinates(x, directions)
+        links, label, edges = np.zeros(len(x), np.int64), ids.copy(), set()
+
+        def meet(left, right, alone):
+            over = y[left] @ y[right].T >= least - ROUNDING
+            if alone:  # a pair within a block once
+                over = np.triu(over, 1)
+            count = np.count_nonzero(over)
+            if not count:
+                return
+            a, b = np.flatnonzero(over.any(1)), np.flatnonzero(over.any(0))
+            over, a, b = over[np.ix_(a, b)], left[a], right[b]
+            if over.size <= 16 * count:
+                over &= x[a] @ x[b].T >= least
+            else:
+                i, j = np.nonzero(over)
+                for k in range(0, count, 4096):
+                    e, f = i[k : k + 4096], j[k : k + 4096]
+                    over[e, f] = np.einsum("ij,ij->i", x[a[e]], x[b[f]]) >= least
+            links[a] += over.sum(1)
+            links[b] += over.sum(0)
+            label_a, label_b = label[a], label[b]
+            connect(over, label_a, label_b, edges)
+            label[a] = label_a
+            label[b] = np.minimum(label[b], label_b)
+
+        own = np.searchsorted(number, np.flatnonzero(bundle_of == key[0].as_py())[-1], "right")
+        alone = key[1].as_py() == 0  # the first share joins the bundle with itself
+        there = np.unique(cell_of[number[:own]]) - first
+        near = near_cells(x, cell_of[number] - first, there, p, radius[first : first + len(p)], reach)
+        for k in np.unique(number[:own]).tolist():
+            low, high = np.searchsorted(number, [k, k + 1]).tolist()
+            after = high if alone else own
+            others = after + np.flatnonzero(near[after:, np.searchsorted(there, cell_of[k] - first)])
+            for at in range(low, high, 512):
+                left = np.arange(at, min(at + 512, high))
+                if alone:
+                    meet(left, np.arange(at, high), True)
+                for to in range(0, len(others), 4096):
+                    meet(left, others[to : to + 4096], False)
         some = np.flatnonzero(links)
-        one, two = zip(*edges, strict=True) if edges else ((), ())
-        return pd.DataFrame({"a": [*ids[some], *one], "b": [*ids[some], *two], "n": [*links[some], *[0] * len(one)]}).astype("int64")
+        changes = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        return pa.table({"a": np.concatenate([ids[some], changes[:, 0]]), "b": np.concatenate([ids[some], changes[:, 1]]), "n": np.concatenate([links[some], np.zeros(len(changes), np.int64)])})
 
-    found = stored(both.groupBy("cell", "left", "right").applyInPandas(join, "a bigint, b bigint, n bigint"), "found")
+    found = stored(sent.groupBy("bundle", "share").applyInArrow(join, "a bigint, b bigint, n bigint"), "found")
     links = found.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     labels = components(found.where("n = 0").select("a", "b"))
     out = base.join(links, "vec_id", "left").join(labels.select(F.col("id").alias("vec_id"), "component_id"), "vec_id", "left")

@@ -247,6 +247,48 @@ def test_embeddings_of_several_lengths(spark, block, sample):
     assert {len(every[a]) for a, _ in links} == {8, 11}
 
 
+def shuffled(spark):
+    """Rows that stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_embeddings_travel_in_few_copies(spark):
+    """Random vectors are all about equally far, so that no bound keeps them from a cell; yet a vector goes to few tasks, and no link is lost."""
+    from datagauge.llm.embeddings import near_vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    near = rng.integers(0, 2700, 300)
+    x[2700:] = x[near] + rng.normal(size=(300, 64)) * rng.uniform(0.2, 0.45, (300, 1))  # cosines about 0.95
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert 300 < hit.sum() < 600
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+    before = shuffled(spark)
+    got = near_vectors(df, block=64, sample=500).collect()
+    wrote = sum(n for k, n in shuffled(spark).items() if k not in before)
+    found = brute.components(range(len(x)), [(i, j) for i, j in np.argwhere(hit).tolist() if i < j])
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(hit[i].sum()), found[i]) for i in range(len(x))}
+    assert wrote < 20 * len(x)
+
+
+@pytest.mark.parametrize("width", [3, 16, 40])
+def test_no_cosine_is_over_its_bound(width):
+    from datagauge.llm.embeddings import ROUNDING, basis, coordinates, scaled
+
+    rng = np.random.default_rng(width)
+    x = np.concatenate([rng.normal(size=(200, width)), 5 + rng.normal(size=(200, width)), np.ones((2, width)), np.eye(width)])
+    scaled(x)
+    for directions in (basis(x), basis(x[:1])):
+        assert np.allclose(directions.T @ directions, np.eye(directions.shape[1]), atol=1e-12)
+        y = coordinates(x, directions)
+        assert (x @ x.T <= y @ y.T + ROUNDING / 3).all()
+
+
 def test_pipeline_stages_on_their_own_input(spark, sf_dir):
     import corpus_pipeline as pipeline
     from datagauge.llm.quality import classify
