@@ -28,7 +28,7 @@ def test_class_topk_scores_classes_not_pairs(spark):
     assert sorted({r.candidate for r in least}) == [3, 6, 9] and len(least) == 8 * 3
 
 
-@pytest.mark.parametrize("name", ["metadata_compatibility"])
+@pytest.mark.parametrize("name", ["metadata_compatibility", "structured_similarity"])
 def test_similar_parts_make_no_pairs_of_rows(name, spark, tmp_path):
     from datagauge import catalog
 
@@ -36,3 +36,12 @@ def test_similar_parts_make_no_pairs_of_rows(name, spark, tmp_path):
     spark.range(20_000).selectExpr("id as p_partkey", "'B' as p_brand", "'red bolt' as p_name", "'SMALL' as p_type", "1 as p_size", "1000.0 as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
     rows = catalog.QUERIES[name](spark, str(tmp_path)).where("source in (0, 40, 19980)").collect()
     assert all(r.candidate == (r["rank"] - 1 if r["rank"] <= r.source else r["rank"]) for r in rows) and len(rows) == 60
+
+
+def test_structured_similarity_takes_every_part_as_a_source(spark, sf_dir):
+    from datagauge import catalog
+    from datagauge.plans.adapters import table
+
+    parts = table(spark, sf_dir, "part")
+    alone = parts.groupBy("p_brand").count().where("count = 1").count()
+    assert catalog.QUERIES["structured_similarity"](spark, sf_dir).select("source").distinct().count() == parts.count() - alone
