@@ -79,3 +79,27 @@ def test_dense_scores_are_not_rows(spark, tmp_path):
     for name in ("dense_topk", "late_interaction"):
         plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_pagerank_holds_classes_of_nodes(spark):
+    import numpy as np
+
+    from datagauge.operators import graph
+
+    pairs = [(f"i{i}", f"a{i % 3}") for i in range(400)] + [(f"i{i}", f"b{i % 2}") for i in range(0, 400, 5)] + [("a0", "a1")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    names = sorted({x for p in pairs for x in p} | {"alone"})
+    nodes, sources = spark.createDataFrame([(x,) for x in names], "node string"), spark.createDataFrame([("i0",), ("a2",), ("alone",)], "source string")
+    assert graph.collapsed(nodes, edges, sources, 0.85)[1].count() < 60  # the graph has 960 links both ways
+    at, m = {x: i for i, x in enumerate(names)}, np.zeros((len(names), len(names)))
+    for a, b in pairs:
+        m[at[a], at[b]] = m[at[b], at[a]] = 1
+    share = m / np.maximum(m.sum(1), 1)[:, None]
+    for run in (graph.pagerank, graph.pagerank_batches):
+        got = {(r.source, r.node): r.score for r in run(nodes, edges, sources).collect()}
+        for s in ("i0", "a2", "alone"):
+            e = np.eye(len(names))[at[s]]
+            x = e
+            for _ in range(200):
+                x = 0.85 * (x @ share + e * x[m.sum(1) == 0].sum()) + 0.15 * e
+            assert [got.get((s, n), 0.0) for n in names] == pytest.approx(list(x), abs=1e-8)
